@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import langid
+from quire.llm import bpe, langid, token_counts
 from quire.llm.common import table
 
 
@@ -14,8 +15,23 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": langid.held_out(F.col("doc_id"))})
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return token_counts.limits(token_counts.histogram(counts))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoder = bpe.Encoder(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    ids = bpe.encode(table(spark, sf_dir, "documents"), encoder).withColumns({"n_tokens": (F.octet_length("ids") / 4).cast("long"), "ids_sha256": F.sha2("ids", 256)})
+    back = bpe.decode(ids, encoder, keep=("doc_id", "n_tokens", "ids_sha256"))
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = (op4_language_id, op5_token_counts, op9_byte_bpe)
+
+
 def queries() -> dict:
-    return {"op4_language_id": op4_language_id}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict:
