@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import bpe, langid, substring, token_counts
+from quire.llm import bpe, langid, simhash, substring, token_counts
 from quire.llm.common import table
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
@@ -31,7 +35,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = (op3_substring_dedup, op4_language_id, op5_token_counts, op9_byte_bpe)
+QUERIES = (op2_simhash, op3_substring_dedup, op4_language_id, op5_token_counts, op9_byte_bpe)
 
 
 def queries() -> dict:
