@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import bpe, langid, packing, perplexity, simhash, substring, token_counts
+from quire.llm import bpe, langid, packing, perplexity, simhash, substring, token_counts, warc
 from quire.llm.common import table
 
 
@@ -32,6 +32,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.histogram(counts))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.captures(table(spark, sf_dir, "pages"), payloads=False)
+    c = "capture."
+    return got.select(c + "page_id", c + "payload_bytes", c + "payload_digest", F.col(c + "type").alias("record_type"), c + "refers_to", F.col("request").isNotNull().alias("has_request"), F.col("metadata").isNotNull().alias("has_metadata"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder = bpe.Encoder(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
     ids = bpe.encode(table(spark, sf_dir, "documents"), encoder).withColumns({"n_tokens": (F.octet_length("ids") / 4).cast("long"), "ids_sha256": F.sha2("ids", 256)})
@@ -44,12 +50,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = (op1_quality_rules, op2_simhash, op3_substring_dedup, op4_language_id, op5_token_counts, op9_byte_bpe, op10_packing)
+QUERIES = (op1_quality_rules, op2_simhash, op3_substring_dedup, op4_language_id, op5_token_counts, op8_warc, op9_byte_bpe, op10_packing)
 
 
 def queries() -> dict:
     return {q.__name__: q for q in QUERIES}
 
 
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS b FROM pages),
+d AS (SELECT page_id, strlen(b) AS payload_bytes, sha1(b) AS h, min(page_id) OVER (PARTITION BY b) AS least FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> least THEN least END AS refers_to, true AS has_request, true AS has_metadata
+FROM d
+"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    return {"op8_warc": OP8_SQL}
