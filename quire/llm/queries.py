@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import bpe, langid, packing, perplexity, simhash, substring, token_counts, warc
+from quire.llm import bpe, langid, licenses, packing, perplexity, simhash, substring, token_counts, warc
 from quire.llm.common import table
 
 
@@ -32,6 +32,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.histogram(counts))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = licenses.scan(table(spark, sf_dir, "documents"))
+    base = F.col("base")
+    return got.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(base).cast("long").alias("first_word"), F.array_max(base).cast("long").alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = warc.captures(table(spark, sf_dir, "pages"), payloads=False)
     c = "capture."
@@ -50,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = (op1_quality_rules, op2_simhash, op3_substring_dedup, op4_language_id, op5_token_counts, op8_warc, op9_byte_bpe, op10_packing)
+QUERIES = (op1_quality_rules, op2_simhash, op3_substring_dedup, op4_language_id, op5_token_counts, op7_license_scan, op8_warc, op9_byte_bpe, op10_packing)
 
 
 def queries() -> dict:
