@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import bpe, langid, licenses, packing, perplexity, simhash, substring, token_counts, warc
+from quire.llm import bpe, digest, langid, licenses, packing, perplexity, simhash, substring, token_counts, warc
 from quire.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.histogram(counts))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = digest.fingerprints_with_next(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = licenses.scan(table(spark, sf_dir, "documents"))
     base = F.col("base")
@@ -56,7 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = (op1_quality_rules, op2_simhash, op3_substring_dedup, op4_language_id, op5_token_counts, op7_license_scan, op8_warc, op9_byte_bpe, op10_packing)
+QUERIES = (op1_quality_rules, op2_simhash, op3_substring_dedup, op4_language_id, op5_token_counts, op6_fingerprints, op7_license_scan, op8_warc, op9_byte_bpe, op10_packing)
 
 
 def queries() -> dict:
