@@ -9,7 +9,8 @@ n-grams (12 to 16 bytes each); beyond that the same sums are made by joins on th
 the same figures.
 
 Bands: per language, the quartiles of the log-perplexity of all texts that pass the counted rules (from an
-exact histogram in steps of ``STEP``), widened by ``spread`` times their distance, at least ``least``.
+exact histogram in steps of ``STEP``), widened below and above by ``spread`` times their distance and by
+``short`` over the square root of the text's bytes, as the mean over a short text scatters that much more.
 
 Defined results: a null text has no words; texts without words have no perplexity (null) and fail the
 counted rules; a null language is a language of its own, as is one that no text with words has; ties and
@@ -203,7 +204,7 @@ _STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def score(df: DataFrame, model: DataFrame, text_col: str, keep: dict[str, Column], max_broadcast: int = 8_000_000) -> DataFrame:
-    """Columns ``keep``, the counted rules, and log_ppl: the mean negative log-probability of a byte."""
+    """Columns ``keep``, the counted rules, n_bytes, and log_ppl: the mean negative log-probability of a byte."""
     part = df.select(*[c.alias(f"k{i}") for i, c in enumerate(keep.values())], F.col(text_col).alias("t"))
     names = [f"k{i}" for i in range(len(keep))]
     fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in part.schema.fields[:-1])
@@ -227,7 +228,7 @@ def score(df: DataFrame, model: DataFrame, text_col: str, keep: dict[str, Column
 
                 _per_part(block, add)
             ppl = [-t / n if n else None for t, n in zip(total, size)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, pa.int64()) for c in counted], pa.array(ppl, pa.float64())], [*names, *_STATS, "log_ppl"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, pa.int64()) for c in counted], pa.array(size.astype(np.int64)), pa.array(ppl, pa.float64())], [*names, *_STATS, "n_bytes", "log_ppl"])
 
     def explode(rows):
         for b in batches(rows):
@@ -242,7 +243,7 @@ def score(df: DataFrame, model: DataFrame, text_col: str, keep: dict[str, Column
                 yield pa.RecordBatch.from_arrays([*head, grams], [*names, *_STATS, "grams"])
 
     if small:
-        out = part.mapInArrow(run, f"{fields}{stats}log_ppl double")
+        out = part.mapInArrow(run, f"{fields}{stats}n_bytes bigint, log_ppl double")
     else:
         rows = part.mapInArrow(explode, f"{fields}{stats}grams array<struct<key bigint, n bigint>>").withColumn("row", F.expr("uuid()"))
         rows = write_shared(rows, "ngrams-by-text")
@@ -256,27 +257,27 @@ def score(df: DataFrame, model: DataFrame, text_col: str, keep: dict[str, Column
             ctx = model.where(F.col("ord") == k - 1).where("backoff is not null").select(F.col("key").alias("ck"), "backoff")
             todo = got.where("mk is null").join(ctx, F.shiftright(_suffix(k), 8) == F.col("ck"), "left").select("row", "key", "n", (F.col("w") + F.coalesce("backoff", F.lit(0.0))).alias("w"))
         sums = sums.union(todo.select("row", "n", F.col("n") * (F.col("w") - math.log(256))))
-        ppl = sums.groupBy("row").agg((-F.sum("s") / F.sum("n")).alias("log_ppl"))
-        out = rows.drop("grams").join(ppl, "row", "left")
-    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keep)], *_STATS, "log_ppl")
+        ppl = sums.groupBy("row").agg(F.sum("n").alias("n_bytes"), (-F.sum("s") / F.sum("n")).alias("log_ppl"))
+        out = rows.drop("grams").join(ppl, "row", "left").withColumn("n_bytes", F.coalesce("n_bytes", F.lit(0)))
+    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keep)], *_STATS, "n_bytes", "log_ppl")
 
 
-def bands(scored: DataFrame, spread: float = 4.0, least: float = 0.2) -> DataFrame:
-    """(lang, lower, upper) of log_ppl over rows that passed the counted rules."""
+def bands(scored: DataFrame) -> DataFrame:
+    """(band_lang, q1, q3): quartiles of log_ppl over rows that passed the counted rules."""
     hist = scored.where("not base_failed and log_ppl is not null").groupBy("lang", F.floor(F.col("log_ppl") / STEP).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("lang")  # at most log(256) / STEP bins and a few more
     h = hist.withColumns({"up": F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(w)})
-    q = h.groupBy("lang").agg(*[(F.min(F.when(F.col("up") >= f * F.col("total"), F.col("bin"))) * STEP).alias(a) for f, a in ((0.25, "q1"), (0.75, "q3"))])
-    room = F.greatest(F.lit(least), spread * (F.col("q3") - F.col("q1")))
-    return q.select(F.col("lang").alias("band_lang"), (F.col("q1") - room).alias("lower"), (F.col("q3") + STEP + room).alias("upper"))
+    q1, q3 = (F.min(F.when(F.col("up") >= f * F.col("total"), F.col("bin"))) * STEP for f in (0.25, 0.75))
+    return h.groupBy("lang").agg(q1.alias("q1"), (q3 + STEP).alias("q3")).withColumnRenamed("lang", "band_lang")
 
 
-def judge(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", spread: float = 4.0, max_broadcast: int = 8_000_000) -> DataFrame:
+def judge(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", spread: tuple[float, float] = (3.0, 2.0), short: tuple[float, float] = (6.0, 3.0), least: float = 0.02, max_broadcast: int = 8_000_000) -> DataFrame:
     """One row per input row: id, lang, the counted rules, base_failed, perplexity, its band, kept."""
     model = write_shared(kneser_ney(count_ngrams(df, text_col)), "kneser-ney")
     scored = score(df, model, text_col, {"id": F.col(id_col), "lang": F.col(lang_col).cast("string")}, max_broadcast)
     scored = write_shared(scored.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))), "quality")
-    band = bands(scored, spread)
-    out = scored.join(band, F.col("lang").eqNullSafe(F.col("band_lang")), "left")
+    out = scored.join(bands(scored), F.col("lang").eqNullSafe(F.col("band_lang")), "left")
+    wide, scatter = F.greatest(F.col("q3") - F.col("q1"), F.lit(least)), F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1)))
+    out = out.withColumns({"lower": F.col("q1") - spread[0] * wide - short[0] / scatter, "upper": F.col("q3") + spread[1] * wide + short[1] / scatter})
     inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(False))
     return out.select(F.col("id").alias(id_col), *_STATS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "lang", F.exp("log_ppl").alias("perplexity"), F.exp("lower").alias("lower"), F.exp("upper").alias("upper"))
