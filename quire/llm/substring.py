@@ -27,6 +27,7 @@ other like any others, each gets a row; ids may be null.  Columns not named in `
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,7 @@ from quire.llm.word_hash import BASES, WordHash, runs, sliding_min
 #: Text bytes of a chunk, and fingerprints of a shard.
 CHUNK_BYTES, PER_SHARD = 4_000_000, 2_000_000
 _RUN = "shard int, chunk bigint, k binary, x binary, many binary"
+_WORD = re.compile(rb"[^ \t-\r]+")
 _WORDS: list[WordHash] = []
 
 
@@ -61,11 +63,18 @@ def _unpack(raw: bytes) -> pa.RecordBatch:
 
 
 def _finish(text: str | None, keep: np.ndarray | None, digest: bool):
-    words = utf8(text).split()
-    if keep is not None:
-        words = [w for w, k in zip(words, keep.tolist()) if k]
-    out = b" ".join(words)
-    return hashlib.sha256(out).hexdigest() if digest else out.decode("utf-8", "surrogatepass")
+    """SHA-256 of the kept words joined by one blank, or the text without the removed words and what follows each."""
+    raw = utf8(text)
+    if digest:
+        words = raw.split()
+        if keep is not None:
+            words = [w for w, k in zip(words, keep.tolist()) if k]
+        return hashlib.sha256(b" ".join(words)).hexdigest()
+    if keep is not None and not keep.all():
+        starts = [m.start() for m in _WORD.finditer(raw)] + [len(raw)]
+        raw = raw[: starts[0]] + b"".join([raw[a:z] for a, z, k in zip(starts, starts[1:], keep.tolist()) if k])
+        raw = raw.strip()
+    return raw.decode("utf-8", "surrogatepass")
 
 
 def _u64(raw: bytes | None) -> np.ndarray:
@@ -154,7 +163,8 @@ def _minimizers(h: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.nd
 
 
 def remove_repeats(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), width: int = 35, gram: int = 8, digest: bool = False) -> DataFrame:
-    """Columns ``keep``, n_words, n_removed and kept (the kept words joined by one blank; with ``digest`` their SHA-256)."""
+    """Columns ``keep``, n_words, n_removed and kept: the text without the removed words, or with ``digest`` the SHA-256
+    of the kept words joined by one blank."""
     names = [f"k{i}" for i in range(len(keep))]
     part = df.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text_col).alias("_t"))
     id_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in part.schema.fields[:-1])
