@@ -120,7 +120,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         # White_Space of Unicode, spelled out: the regex module's own \s also takes U+001C to U+001F
-        space = r"\t-\r \x85\xa0  -     　"
+        space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
         spelled = pattern.replace(r"[^\s", "[^" + space).replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]")
         self.pieces = regex.compile(spelled, regex.V0).findall
         self.ranks, self.whole = ranks, PerfectHash(ranks)

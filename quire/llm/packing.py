@@ -32,7 +32,7 @@ from quire.llm.common import batches, columns_of, write_shared
 
 WINDOW, SHARD_TOKENS = 4096, 2_000_000
 #: Chunks for which lower-casing and normalisation go letter by letter: printable ASCII and precomposed Latin.
-_PLAIN = re.compile("[!-~¡-įı-ɏ]*").fullmatch
+_PLAIN = re.compile("[!-~\xa1-\u012f\u0131-\u024f]*").fullmatch
 
 
 class WordEncoder:
