@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
@@ -38,6 +39,11 @@ def scan_files(spark: SparkSession, roots: Sequence[str], exts: Sequence[str] =
     if not here:
         return spark.createDataFrame([], schema)
     got = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(here)
+    # the source gives no row for a file of length 0: those are the listed paths that it does not read
+    names = [unquote(p) for p in got.inputFiles()]
+    listed = spark.createDataFrame([(p.replace("file:///", "file:/", 1),) for p in names], "path string")
+    empty = listed.join(got.select("path"), "path", "left_anti").select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    got = got.unionByName(empty)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./\\]*)$", 1))
     return got.where(suffix.isin(*[e.lower() for e in exts])).dropDuplicates(["path"])
 
