@@ -80,5 +80,18 @@ FROM d
 """
 
 
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS p FROM w WHERE len(ws) >= 35),
+h AS (SELECT doc_id, p, md5(array_to_string(list_slice(ws, p, p + 34), ' ')) AS h FROM s),
+again AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS i FROM h WHERE h IN (SELECT h FROM again)),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op8_warc": OP8_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op8_warc": OP8_SQL}
