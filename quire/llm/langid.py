@@ -45,17 +45,22 @@ def _code_points(text: str) -> np.ndarray:
 
 
 def _grams(texts: list[str | None], orders: tuple[int, ...], bits: int):
-    """Yield (row numbers, bucket slices' starts, buckets) for blocks of whole rows or parts of long rows."""
+    """Yield (row numbers, first bucket of each, buckets) for blocks of whole rows or parts of long rows.
+
+    A part of a long row also holds what follows it, but owns only the n-grams that begin in it.
+    """
     gap = max(orders) - 1
     rows: list[int] = []
     parts: list[np.ndarray] = []
+    own: list[int] = []
     size = 0
 
     def emit():
         pad = np.zeros(gap, np.uint32)
         flat = np.concatenate([x for p in parts for x in (p, pad)])
-        ends = np.cumsum([len(p) + gap for p in parts])
-        out, at = [], []
+        sizes = np.array([len(p) + gap for p in parts])
+        ends = np.cumsum(sizes)
+        owned = np.arange(len(flat)) - np.repeat(ends - sizes, sizes) < np.repeat(own, sizes)
         for n in orders:
             h = np.full(len(flat) - gap, n, np.uint32)
             some = np.zeros(len(h), bool)
@@ -64,27 +69,25 @@ def _grams(texts: list[str | None], orders: tuple[int, ...], bits: int):
                 some |= c != 0
                 h = (h ^ c) * np.uint32(SALTS[j])
                 h ^= h >> np.uint32(15)
-            where = np.flatnonzero(some)
-            out.append((h[where] >> np.uint32(32 - bits)).astype(np.int64))
-            at.append(np.searchsorted(ends, where, side="right"))
-        for k, buckets in enumerate(out):
-            if len(buckets):
-                first = np.flatnonzero(np.diff(at[k], prepend=-1))
-                yield [rows[i] for i in at[k][first]], first, buckets
+            where = np.flatnonzero(some & owned[: len(h)])
+            if len(where):
+                at = np.searchsorted(ends, where, side="right")
+                first = np.flatnonzero(np.diff(at, prepend=-1))
+                yield [rows[i] for i in at[first]], first, (h[where] >> np.uint32(32 - bits)).astype(np.int64)
 
     for i, text in enumerate(texts):
         if not text:
             continue
         cp = _code_points(text)
         for start in range(0, len(cp), BLOCK):
-            # a later part begins with the last gap code points before it, so that no n-gram is lost
-            part = _letters()[cp[max(0, start - gap) : start + BLOCK]]
+            part = _letters()[cp[start : start + BLOCK + gap]]
             rows.append(i)
             parts.append(part)
+            own.append(BLOCK if start + BLOCK < len(cp) else len(part))
             size += len(part)
             if size >= BLOCK:
                 yield from emit()
-                rows, parts, size = [], [], 0
+                rows, parts, own, size = [], [], [], 0
     if parts:
         yield from emit()
 
