@@ -70,6 +70,32 @@ def test_substring_text_keeps_its_layout(spark):
     assert substring.remove_repeats(df.where("false")).count() == 0
 
 
+def test_index_between_batches(spark, tmp_path):
+    from quire.llm.substring_index import Index
+
+    rows, df = corpus(spark, 40)
+    index, seen, width = Index(spark, str(tmp_path / "index"), shards=3), Counter(), 35
+    for batch in range(3):
+        part = [r for r in rows if r[0] % 3 == batch]
+        words = {r[0]: WORD.findall(r[1] or "") for r in part}
+        for w in words.values():
+            seen.update(tuple(w[s : s + width]) for s in range(len(w) - width + 1))
+        want = {}
+        for i, w in words.items():
+            keep = [True] * len(w)
+            for s in range(len(w) - width + 1):
+                if seen[tuple(w[s : s + width])] > 1:
+                    keep[s : s + width] = [False] * width
+            want[i] = (len(w), len(w) - sum(keep))
+        got = index.append(df.where(F.col("doc_id") % 3 == batch)).collect()
+        assert {r.doc_id: (r.n_words, r.n_removed) for r in got} == want
+        if batch == 1:
+            before = index.runs().agg(F.sum(F.octet_length("k"))).first()[0]
+            index.compact()
+            assert index.runs().count() <= 3 and index.runs().agg(F.sum(F.octet_length("k"))).first()[0] <= before
+    assert index.append(df.where("false")).count() == 0
+
+
 def plain_fingerprint(text):
     w = (text or "").encode().lower().split()
     s = [b" ".join(w[j : j + 3]) for j in range(len(w) - 2)] if len(w) > 2 else [b" ".join(w)] if w else []
