@@ -23,7 +23,7 @@ import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.llm.chunks import Cache, Chunked
+from quire.llm.chunks import Cache, Chunked, simple
 from quire.llm.common import batches, columns_of, utf8
 
 MASK = (1 << 64) - 1
@@ -137,13 +137,20 @@ class Encoder:
 
     @functools.cached_property
     def chunked(self) -> Chunked:
-        known = Cache(self._piece, 200_000)
+        known = Cache(self._piece, 300_000)
 
         def make(chunk: str) -> bytes:
-            got = self.pieces(chunk)
+            got = simple(chunk) or self.pieces(chunk)
             return known[got[0]] if len(got) == 1 else b"".join([known[p] for p in got])
 
-        return Chunked(make, lambda chunk: make(" " + chunk))
+        def spaced(chunk: str) -> bytes:
+            got = simple(chunk)
+            if got is None:
+                return make(" " + chunk)
+            one = known[" " + got[0]]
+            return one if len(got) == 1 else one + known[got[1]]
+
+        return Chunked(make, spaced)
 
     def _piece(self, piece: str) -> bytes:
         raw = utf8(piece)

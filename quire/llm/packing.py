@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.chunks import Cache, Chunked
+from quire.llm.chunks import Cache, Chunked, simple
 from quire.llm.common import batches, columns_of, write_shared
 
 WINDOW, SHARD_TOKENS = 4096, 2_000_000
@@ -46,23 +47,28 @@ class WordEncoder:
         self.model = self.whole.model
         self.size = self.whole.get_vocab_size()
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.code = "H" if self.kind is np.uint16 else "I"
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet
         hidden = iter(range(256, 512))
         self.letter = {b: chr(b) if b in shown else chr(next(hidden)) for b in range(256)}
-        known = Cache(self._piece, 200_000)
+        known = Cache(self._piece, 400_000)
 
         def make(chunk: str) -> bytes:
+            got = simple(chunk)
+            if got:
+                one = known[got[0].lower()]
+                return one if len(got) == 1 else one + known[got[1]]
             if not _PLAIN(chunk) or "<|" in chunk:
                 return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
             got = self.pieces(chunk.lower())
             return known[got[0]] if len(got) == 1 else b"".join([known[p] for p in got])
 
-        self.chunked = Chunked(make, make)
+        self.chunked = Chunked(make, entries=1_000_000)
 
     def _piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else "".join(map(self.letter.__getitem__, piece.encode()))
-        return np.array([t.id for t in self.model.tokenize(shown)], self.kind).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(self.chunked(text or ""))
