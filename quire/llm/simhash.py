@@ -133,7 +133,9 @@ def links(fps: DataFrame, radius: int = 3, limit: int = LIMIT) -> DataFrame:
     found, free = [], {m: (1 << 64) - 1 & ~m for m in masks(radius)}
     while True:
         rows = rows.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
-        large = write_shared(rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("mask", "key"), "simhash-large")
+        leaves = [_signed(m) for m, f in free.items() if f.bit_count() <= 7]
+        large = rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > limit) & ~F.col("mask").isin(leaves))
+        large = write_shared(large.select("mask", "key"), "simhash-large")
         last = large.isEmpty()
         small = rows if last else rows.join(large, ["mask", "key"], "left_anti")
         sort = small.repartition("mask", "key").sortWithinPartitions("mask", "key")
