@@ -29,7 +29,7 @@ from quire.llm.common import batches, columns_of, utf8, write_shared
 from quire.llm.word_hash import WordHash, runs
 
 ORDER, STEP = 5, 0.002
-_BLOCK = 4_000_000
+_BLOCK = 1_000_000
 _DOC_BITS = 64 - 8 * ORDER
 _WORDS: list[WordHash] = []
 
@@ -203,7 +203,7 @@ def _per_part(block, lookup) -> tuple[np.ndarray, np.ndarray]:
 _STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def score(df: DataFrame, model: DataFrame, text_col: str, keep: dict[str, Column], max_broadcast: int = 8_000_000) -> DataFrame:
+def score(df: DataFrame, model: DataFrame, text_col: str, keep: dict[str, Column], max_broadcast: int = 4_000_000) -> DataFrame:
     """Columns ``keep``, the counted rules, n_bytes, and log_ppl: the mean negative log-probability of a byte."""
     part = df.select(*[c.alias(f"k{i}") for i, c in enumerate(keep.values())], F.col(text_col).alias("t"))
     names = [f"k{i}" for i in range(len(keep))]
@@ -271,7 +271,7 @@ def bands(scored: DataFrame) -> DataFrame:
     return h.groupBy("lang").agg(q1.alias("q1"), (q3 + STEP).alias("q3")).withColumnRenamed("lang", "band_lang")
 
 
-def judge(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", spread: tuple[float, float] = (3.0, 2.0), short: tuple[float, float] = (6.0, 3.0), least: float = 0.02, max_broadcast: int = 8_000_000) -> DataFrame:
+def judge(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", spread: tuple[float, float] = (3.0, 2.0), short: tuple[float, float] = (6.0, 3.0), least: float = 0.02, max_broadcast: int = 4_000_000) -> DataFrame:
     """One row per input row: id, lang, the counted rules, base_failed, perplexity, its band, kept."""
     model = write_shared(kneser_ney(count_ngrams(df, text_col)), "kneser-ney")
     scored = score(df, model, text_col, {"id": F.col(id_col), "lang": F.col(lang_col).cast("string")}, max_broadcast)

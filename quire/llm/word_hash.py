@@ -13,10 +13,10 @@ BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
 class WordHash:
-    """Text -> one 64-bit hash per word [^\\x20\\x09-\\x0D]+, cached per worker."""
+    """Text -> one 64-bit hash per word [^\\x20\\x09-\\x0D]+, the frequent ones cached."""
 
     def __init__(self):
-        self.known = Cache(xxhash.xxh64_intdigest)
+        self.known = Cache(xxhash.xxh64_intdigest, 100_000)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = utf8(text).split()
