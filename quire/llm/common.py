@@ -55,11 +55,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def write_shared(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def write_shared(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write a table once in the shared folder and read it back: later steps survive lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire-{label}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -103,8 +103,14 @@ def document_frequencies(encoded: DataFrame, size: int, kind) -> np.ndarray:
     def count(rows):
         df = np.zeros(size, np.int64)
         for b in batches(rows):
-            for raw in b.column(0).to_pylist():
-                df[np.unique(np.frombuffer(raw, kind))] += 1
+            raws = b.column(0).to_pylist()
+            for lo in range(0, len(raws), 512):  # sort all ids of some documents at once: (document, id)
+                own = [np.frombuffer(r, kind) for r in raws[lo : lo + 512]]
+                key = np.repeat(np.arange(len(own), dtype=np.uint64), [len(x) for x in own]) << np.uint64(32) | np.concatenate(own)
+                key.sort()
+                new = np.ones(len(key), bool)
+                np.not_equal(key[1:], key[:-1], out=new[1:])
+                df += np.bincount((key[new] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=size)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], ["id", "n"])
 
@@ -127,16 +133,23 @@ class ShardIndex:
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[doc] / mean))
         self.n, self.term = len(docs), term
         self.at = np.searchsorted(doc, np.arange(len(docs) + 1))
-        order = np.argsort(term, kind="stable")
+        by = np.sort(term.astype(np.uint64) << np.uint64(32) | np.arange(len(term), dtype=np.uint64))
+        order = (by & np.uint64(0xFFFFFFFF)).astype(np.int64)
         self.doc, self.weight = doc[order], weight[order]
         self.post = np.searchsorted(term[order], np.arange(len(idf) + 1))
 
+    def drop(self, used: np.ndarray) -> None:
+        """Take the used documents out of the postings."""
+        stay = ~used[self.doc]
+        self.doc, self.weight = self.doc[stay], self.weight[stay]
+        self.post = np.concatenate([[0], np.cumsum(stay)])[self.post]
+
     def scores(self, query: int) -> np.ndarray:
         """BM25 of every document of the shard against the distinct ids of one."""
         terms = self.term[self.at[query] : self.at[query + 1]]
-        lo, n = self.post[terms], self.post[terms + 1] - self.post[terms]
-        pick = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.bincount(self.doc[pick], self.weight[pick], self.n)
+        cuts = list(zip(self.post[terms].tolist(), self.post[terms + 1].tolist()))
+        doc, weight = np.concatenate([self.doc[a:z] for a, z in cuts]), np.concatenate([self.weight[a:z] for a, z in cuts])
+        return np.bincount(doc, weight, self.n)
 
 
 def fill(docs: list[np.ndarray], index: ShardIndex, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -145,7 +158,7 @@ def fill(docs: list[np.ndarray], index: ShardIndex, window: int = WINDOW) -> lis
     used, nxt, out = np.zeros(len(docs), bool), 0, []
     left, seq, room = sum(lens), 0, 0
     order: list[int] = []
-    seed_due = False
+    seed_due, since = False, 0
     doc, at = -1, 0
     while left:
         if not room:
@@ -162,7 +175,10 @@ def fill(docs: list[np.ndarray], index: ShardIndex, window: int = WINDOW) -> lis
                 if used[doc]:
                     doc = -1
                     continue
-            used[doc], at = True, 0
+            used[doc], at, since = True, 0, since + 1
+            if 8 * since > len(docs):  # used documents score nothing: now and then their postings go
+                index.drop(used)
+                since = 0
         take = min(room, lens[doc] - at)
         out.append((doc, at, take, seq - 1, size - room))
         room, left, at = room - take, left - take, at + take
@@ -182,7 +198,7 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WIND
     enc = _encoder(tokenizer_path)
     kind, size = enc.kind, enc.size + 1
     names = [f"k{i}" for i in range(len(keep))]
-    table = write_shared(encode(df, tokenizer_path, end_id, text_col, keep), "packing-ids")
+    table = write_shared(encode(df, tokenizer_path, end_id, text_col, keep), "packing-ids", "snappy")
     total = table.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens")).first()
     docs, tokens = total.docs, total.tokens or 0
     dfs = document_frequencies(table, size, kind)
