@@ -7,7 +7,7 @@ version, 1 bare names.
 
 # label, name of the licence as it stands in normalised text, keyword
 NAMES = [
-    ("gpl-1.0", r"(?:gnu )?(?:general public license|gpl) (?:version |v)?1(?: 0)?", " 1"),
+    ("gpl-1.0", r"(?:gnu )?(?:general public license|gpl) (?:version |v)?1(?: 0)?", "1"),
     ("gpl-2.0", r"(?:gnu )?(?:general public license|gpl) (?:version |v)?2(?: 0)?", "2"),
     ("gpl-3.0", r"(?:gnu )?(?:general public license|gpl) (?:version |v)?3(?: 0)?", "3"),
     ("gpl", r"(?:gnu )?(?:general public license|gpl)", "gpl|general public"),
@@ -15,7 +15,7 @@ NAMES = [
     ("lgpl-2.1", r"(?:gnu )?(?:lesser general public license|lgpl) (?:version |v)?2 1", "2 1"),
     ("lgpl-3.0", r"(?:gnu )?(?:lesser general public license|lgpl) (?:version |v)?3(?: 0)?", "3"),
     ("lgpl", r"(?:gnu )?(?:(?:library|lesser) general public license|lgpl)", "lgpl|general public"),
-    ("agpl-1.0", r"(?:affero general public license|agpl) (?:version |v)?1(?: 0)?", " 1"),
+    ("agpl-1.0", r"(?:affero general public license|agpl) (?:version |v)?1(?: 0)?", "1"),
     ("agpl-3.0", r"(?:gnu )?(?:affero general public license|agpl) (?:version |v)?3(?: 0)?", "3"),
     ("agpl", r"(?:gnu )?(?:affero general public license|agpl)", "agpl|affero"),
     ("fdl-1.1", r"(?:gnu )?(?:free documentation license|gfdl|fdl) (?:version |v)?1 1", "1 1"),
@@ -41,7 +41,7 @@ NAMES = [
     ("mpl-1.1", r"(?:mozilla public license|mpl) (?:version |v)?1 1", "1 1"),
     ("mpl-2.0", r"(?:mozilla public license|mpl) (?:version |v)?2(?: 0)?", "2"),
     ("mpl", r"mozilla public license", "mozilla"),
-    ("epl-1.0", r"(?:eclipse public license|epl) (?:version |v)?1(?: 0)?", " 1"),
+    ("epl-1.0", r"(?:eclipse public license|epl) (?:version |v)?1(?: 0)?", "1"),
     ("epl-2.0", r"(?:eclipse public license|epl) (?:version |v)?2(?: 0)?", "2"),
     ("epl", r"eclipse public license", "eclipse"),
     ("edl-1.0", r"eclipse distribution license(?: (?:version |v)?1(?: 0)?)?", "eclipse"),
@@ -122,7 +122,7 @@ TEXTS = [
     ("gpl-2.0+", "any later version", r"either version 2 of the license or at your option any later version"),
     ("gpl-3.0+", "any later version", r"either version 3 of the license or at your option any later version"),
     ("apache-2.0", "apache org", r"www apache org licenses license 2 0"),
-    ("apache-2.0", "as is", r"unless required by applicable law or agreed to in writing software distributed under the license"),
+    ("apache-2.0", "applicable law", r"unless required by applicable law or agreed to in writing software distributed under the license"),
     ("apache-1.1", "apache software", r"this product includes software developed by the apache software foundation"),
     ("mpl-2.0", "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("epl", "eclipse", r"made available under the terms of the eclipse public license"),
@@ -139,7 +139,7 @@ TEXTS = [
     ("warranty-disclaimer", "warranty", r"without any warranty without even the implied warranty of merchantability"),
     ("all-rights-reserved", "rights reserved", r"all rights reserved"),
     ("proprietary", "proprietary", r"proprietary and confidential"),
-    ("proprietary", "proprietary", r"unauthorized copying of this file"),
+    ("proprietary", "unauthorized", r"unauthorized copying of this file"),
     ("non-commercial", "commercial", r"for non ?commercial (?:use|purposes) only"),
     ("cc-by", "creativecommons", r"creativecommons org licenses by [1-4] [05]"),
     ("cc-by-sa", "creativecommons", r"creativecommons org licenses by sa [1-4] [05]"),
@@ -152,7 +152,7 @@ TEXTS = [
 GRANT = r"(?:licensed|released|distributed|available|published|provided|shared|covered|governed|redistributed) (?:\S+ ){0,3}?(?:under|by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:an? )?"
 TAG = r"spdx license identifier "
 #: One of these is part of every text that a signature can match.
-GATES = ("licen", "copyright", "spdx", "permission", "redistribut", "domain", "warranty", "gpl", " cc", "creative", "rights reserved", "proprietary", "commercial", "bsd", "apache", "agpl", "fdl", "mpl ", "epl ", "cddl", "eupl", "substantial portions", "endorse", "advertising", "free software", "any later version", "waived", "reserved font", "what the fuck", "altered source", "held liable", "mit no attribution", "mit 0")
+GATES = ("licen", "copyright", "spdx", "permission", "redistribut", "domain", "warranty", "gpl", " cc", "creative", "rights reserved", "proprietary", "commercial", "bsd", "apache", "agpl", "fdl", "mpl ", "epl ", "cddl", "eupl", "substantial portions", "endorse", "advertising", "free software", "any later version", "waived", "reserved font", "what the fuck", "altered source", "held liable", "mit no attribution", "mit 0", "unauthorized copying", "applicable law")
 
 
 def signatures() -> list[tuple[str, int, float, str, str]]:

@@ -1,6 +1,7 @@
 """Encoders, language ID, fingerprints and licence scans against plain versions, with odd rows in every table."""
 
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from quire.llm import bpe, digest, langid, licenses, packing, token_counts  # noqa: E402
+from quire.llm import bpe, digest, langid, license_rules, licenses, packing, token_counts  # noqa: E402
 
 #: null, empty, blank, repeated rows, odd characters, a long text
 TEXTS = [None, "", "   \n\t", "a", "A b c", "A b c", "the mit license\n\n x", "né ½² 中文 \x1c\x85 end", "don't  stop <|endoftext|> İ́", "word " * 5000, "x" * 3000]
@@ -187,6 +188,42 @@ def test_licenses_base_counts(spark, docs):
     assert licenses.scan(docs.where("false")).count() == 0
 
 
+def _alternatives(parsed):
+    """Every text of a parsed regex, with repeats at their least and once more, and the ends of ranges."""
+    out = [""]
+    for op, of in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(of)]
+        elif op == "BRANCH":
+            more = [t for b in of[1] for t in _alternatives(b)]
+        elif op == "SUBPATTERN":
+            more = _alternatives(of[3])
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            own = _alternatives(of[2])
+            more = ["".join(c) for k in range(of[0], max(of[0], 1) + 1) for c in itertools.product(own, repeat=k)]
+        else:
+            assert op == "IN", op
+            more = [t for o, x in of for t in ([chr(x)] if str(o) == "LITERAL" else [chr(x[0]), chr(x[1])] if str(o) == "RANGE" else ["7"] if "DIGIT" in str(x) else ["x"])]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_license_keywords_are_in_all_that_their_rules_match():
+    for label, _, _, word, pattern in license_rules.signatures():
+        for t in _alternatives(re._parser.parse(pattern)):
+            assert re.fullmatch(pattern, t) and word in f" {t} " and any(g in f" {t} " for g in license_rules.GATES), (label, t)
+
+
+def test_licenses_without_a_stray_keyword(spark):
+    want = {
+        "licensed under the EPL v1.0": "epl-1.0", "GPL v1": "gpl-1.0", "AGPL v1": "agpl-1.0", "Unauthorized copying of this file": "proprietary",
+        "unless required by applicable law or agreed to in writing, software distributed under the License": "apache-2.0",
+    }
+    got = licenses.scan(spark.createDataFrame([(t,) for t in want], "text string"), keep=("text",)).collect()
+    assert all(want[r.text] in r.labels and r.score >= 0.6 for r in got) and len(got) == len(want)
+
+
 def test_license_suppression_equals_all_pairs(spark):
     rng = random.Random(8)
     rows = [(i, [(a := rng.randint(0, 12), a + rng.randint(0, 6), rng.randint(1, 4), k, f"L{k}", k / 10) for k in range(rng.randint(0, 8))]) for i in range(150)]
