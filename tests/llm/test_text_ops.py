@@ -109,6 +109,22 @@ def test_neighbours_follow_their_seed():
     assert order[:2] == [0, 2] and order[2] == 1 and order[3] == 3
 
 
+def test_neighbours_come_from_all_shards(spark):
+    rng = random.Random(21)
+    topics = [[rng.choice("bcdfg") + "".join(rng.choice("aeioumnr") for _ in range(7)) for _ in range(40)] for _ in range(60)]
+    rows = [(k, " ".join(rng.choice(topics[k]) for _ in range(20))) for _ in range(4) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    path = public_tokenizers.path("word_bpe_49k.json")
+
+    by = {}
+    for r in packing.pack(df, path, window=256, shard_tokens=1000).collect():
+        by.setdefault(r.sequence_id, []).append(r)
+    assert sum(r.length for p in by.values() for r in p) == packing.encode(df, path, 2, "text", ("doc_id",)).agg(F.sum("n")).first()[0]
+    full = [p for p in by.values() if sum(r.length for r in p) == 256]
+    # shards with their own candidates had 0.96 topics a piece
+    assert np.mean([len({r.doc_id for r in p}) / len(p) for p in full]) < 0.8
+
+
 def test_language(spark, docs):
     rng = random.Random(5)
     words = {"en": "the of and with that which from were they have".split(), "fr": "les des une dans que pour sur est avec nous".split()}
