@@ -28,12 +28,15 @@ class Cache(dict):
         if value is None:
             value = self.make(chunk)
         if len(chunk) <= LONGEST:
-            if len(self) >= self.half:
-                self.old = dict(self)
-                self.clear()
-            self[chunk] = value
+            self.put(chunk, value)
         return value
 
+    def put(self, chunk: str, value) -> None:
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = value
+
 
 def simple(chunk: str) -> tuple[str, ...] | None:
     """The pre-tokens of a chunk of Latin letters, maybe with one full stop or comma after them; else None.

@@ -8,12 +8,13 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from quire.llm import bpe, digest, langid, license_rules, licenses, packing, token_counts  # noqa: E402
+from quire.llm import bpe, digest, langid, license_rules, licenses, packing, packing_rounds, token_counts  # noqa: E402
 
 #: null, empty, blank, repeated rows, odd characters, a long text
 TEXTS = [None, "", "   \n\t", "a", "A b c", "A b c", "the mit license\n\n x", "né ½² 中文 \x1c\x85 end", "don't  stop <|endoftext|> İ́", "word " * 5000, "x" * 3000]
@@ -79,12 +80,13 @@ def test_token_histogram(docs):
     assert token_counts.limits(token_counts.histogram(token_counts.count_tokens(docs.where("false"), path, public_tokenizers.PATTERN))).count() == 0
 
 
-def test_packing(docs):
+@pytest.mark.parametrize("pack", [packing.pack, packing_rounds.pack])
+def test_packing(docs, pack):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tk = Tokenizer.from_file(path)
-    got = packing.pack(docs.withColumn("row", F.monotonically_increasing_id()), path, keep=("row", "text"), shard_tokens=3000, window=256).collect()
+    got = pack(docs.withColumn("row", F.monotonically_increasing_id()), path, keep=("row", "text"), shard_tokens=3000, window=256).collect()
     pieces, sequences = {}, {}
     for r in got:
         pieces.setdefault(r.row, []).append(r)
@@ -99,7 +101,7 @@ def test_packing(docs):
         s.sort(key=lambda r: r.offset)
         n = sum(r.length for r in s)
         assert [r.offset for r in s] == list(np.cumsum([0] + [r.length for r in s[:-1]])) and n <= 256 and n & (n - 1) == 0
-    assert packing.pack(docs.where("false"), path).count() == 0
+    assert pack(docs.where("false"), path).count() == 0
 
 
 def test_neighbours_follow_their_seed():
@@ -109,7 +111,8 @@ def test_neighbours_follow_their_seed():
     assert order[:2] == [0, 2] and order[2] == 1 and order[3] == 3
 
 
-def test_neighbours_come_from_all_shards(spark):
+@pytest.mark.parametrize("pack", [packing.pack, packing_rounds.pack])
+def test_neighbours_come_from_all_shards(spark, pack):
     rng = random.Random(21)
     topics = [[rng.choice("bcdfg") + "".join(rng.choice("aeioumnr") for _ in range(7)) for _ in range(40)] for _ in range(60)]
     rows = [(k, " ".join(rng.choice(topics[k]) for _ in range(20))) for _ in range(4) for k in range(60)]
@@ -117,7 +120,7 @@ def test_neighbours_come_from_all_shards(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
 
     by = {}
-    for r in packing.pack(df, path, window=256, shard_tokens=1000).collect():
+    for r in pack(df, path, window=256, shard_tokens=1000).collect():
         by.setdefault(r.sequence_id, []).append(r)
     assert sum(r.length for p in by.values() for r in p) == packing.encode(df, path, 2, "text", ("doc_id",)).agg(F.sum("n")).first()[0]
     full = [p for p in by.values() if sum(r.length for r in p) == 256]
@@ -125,6 +128,51 @@ def test_neighbours_come_from_all_shards(spark):
     assert np.mean([len({r.doc_id for r in p}) / len(p) for p in full]) < 0.8
 
 
+def test_shards_take_bins_in_order_and_split_large_ones():
+    got = packing.deal([(7, 25), (1, 4), (2, 6), (3, 1), (9, 10)], 10)
+    assert got == [(1, 0, 1), (2, 0, 1), (3, 1, 1), (7, 2, 3), (9, 5, 1)]
+    assert packing.deal([], 10) == []
+
+
+def test_scores_are_bm25_by_brute_force():
+    rng = np.random.default_rng(4)
+    own = [rng.integers(0, 60, rng.integers(1, 90)).astype(np.uint16) for _ in range(40)]
+    df = np.array([sum(t in d for d in own) for t in range(60)])
+    idf, mean = packing._idf(len(own), df), np.mean([len(d) for d in own])
+    index = packing.ShardIndex(own, idf, mean)
+    for q in range(len(own)):
+        want = [sum(np.log(1 + (40 - df[t] + 0.5) / (df[t] + 0.5)) * (tf := (d == t).sum()) * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in set(own[q].tolist())) for d in own]
+        assert np.allclose(index.scores(q), want)
+
+
+def test_copies_share_a_shard(spark):
+    rng = random.Random(8)
+    rows = [" ".join("".join(rng.choice("abcdeiou") for _ in range(5)) for _ in range(30)) for _ in range(150)] * 2
+    path = public_tokenizers.path("word_bpe_49k.json")
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(6)
+    by = {}
+    for r in packing.pack(df, path, window=256, shard_tokens=1500).collect():
+        by.setdefault(r.doc_id % 150, set()).add(r.sequence_id >> 32)
+    assert np.mean([len(s) == 1 for s in by.values()]) > 0.95
+
+
+def test_merges_equal_the_tokenizer():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc = packing.WordEncoder(path)
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choice("etaoinshéüñABC'.,1") for _ in range(rng.randint(1, 20))) for _ in range(300)) for _ in range(20)]
+    for t, got in zip(texts, [x for own in enc.encode(pa.array(texts), 2) for x in own]):
+        assert got.tolist() == enc.whole.encode(t, add_special_tokens=False).ids + [2]
+
+
+def test_long_texts_are_cut_at_white_space(monkeypatch):
+    enc = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [None, "", "one two\tthree " * 50, "x" * 400, " ", "a b"]
+    want = [x.tolist() for own in enc.encode(pa.array(texts), 2) for x in own]
+    monkeypatch.setattr(packing, "BLOCK", 40)
+    assert [x.tolist() for own in enc.encode(pa.array(texts), 2) for x in own] == want and len(want) == 6
+
+
 def test_language(spark, docs):
     rng = random.Random(5)
     words = {"en": "the of and with that which from were they have".split(), "fr": "les des une dans que pour sur est avec nous".split()}
