@@ -44,8 +44,8 @@ from quire.llm.merges import Merges
 WINDOW, SHARD_TOKENS = 4096, 2_000_000
 #: Documents that fit the cells, cells, dimensions of a projected vector, min-hash classes of a cell.
 SAMPLE, CELLS, DIMS, CLASSES = 16_384, 256, 64, 64
-#: Bytes of text that are encoded at a time.
-BLOCK = 8_000_000
+#: Bytes of text, and rows, that are encoded at a time.
+BLOCK, SLICE = 8_000_000, 2048
 #: Chunks for which lower-casing and normalisation go letter by letter: printable ASCII and precomposed Latin.
 _PLAIN = re.compile("[!-~\xa1-\u012f\u0131-\u024f]*").fullmatch
 #: The same Latin letters, without U+0130, whose lower case is no letter alone.
@@ -328,8 +328,8 @@ def encode(df: DataFrame, path: str, end_id: int, text_col: str, keep: tuple[str
         df, names, kinds = np.zeros(size, np.int64), None, []
         for whole in batches(rows):
             names, kinds = [*whole.schema.names[:-1], "row", "n", "ids", "bin"], whole.schema.types[:-1]
-            for lo in range(0, whole.num_rows, 2048):
-                b, done = whole.slice(lo, 1024), 0
+            for lo in range(0, whole.num_rows, SLICE):
+                b, done = whole.slice(lo, SLICE), 0
                 for own in enc.encode(b.column(b.num_columns - 1), end_id):
                     doc, term, tf = terms(own)
                     df += np.bincount(term, minlength=size)

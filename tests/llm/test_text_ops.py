@@ -165,6 +165,13 @@ def test_merges_equal_the_tokenizer():
         assert got.tolist() == enc.whole.encode(t, add_special_tokens=False).ids + [2]
 
 
+def test_packing_loses_no_document(spark):
+    df = spark.range(7001).selectExpr("id AS doc_id", "concat('word ', id, ' and ', id % 13) AS text").coalesce(1)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = packing.pack(df, path).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(7001)) and all(r.n == r.m for r in got)
+
+
 def test_long_texts_are_cut_at_white_space(monkeypatch):
     enc = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
     texts = [None, "", "one two\tthree " * 50, "x" * 400, " ", "a b"]
