@@ -3,21 +3,19 @@
 A window is ``width`` consecutive words.  Every word that lies in a window whose words also start
 anywhere else (the same document included) is removed; windows are judged on the input.
 
-The index is made of sorted immutable runs.  Documents are packed into chunks; each chunk is one batch
-and brings one sorted run of fingerprints per hash range (shard).  A shard merges the runs of all
-batches, which is also the compaction: what it keeps is one sorted array.  It answers every run with a
-bit per fingerprint: found again, or not.
+1. Documents are packed into chunks.  Of each window only the least hash of its ``width - gram + 1`` word grams
+   is indexed (a minimizer: equal windows have equal minimizers), about 7 % of the words.
+2. ``substring_index.Index`` takes the chunks batch by batch: each batch brings a sorted immutable run, which is
+   merge-joined with the historical runs; runs are compacted.  It tells which hashes came again, and where.
+3. Verification.  Only windows whose minimizer came again bring fingerprints, 96 bits of two independent
+   hashes.  Each chunk's are dealt by hash range (``PER_SHARD``); a range sorts and merges those of all chunks and
+   answers each with a bit per fingerprint.  Windows found again there are removed.
 
-1. Sparse runs.  Of each window only the least hash of its ``width - gram + 1`` word grams is indexed
-   (a minimizer: equal windows have equal minimizers), about 7 % of the words.
-2. Verification.  Only windows whose minimizer was found again bring their own fingerprints, 96 bits of
-   two independent hashes, to a second merge.  Windows found again there are removed.
+``remove_repeats`` passes a table through an index of its own in ``BATCHES`` batches and judges all documents
+alike.  ``Index.append`` removes from new documents what they repeat of older ones.
 
-``Index`` keeps compacted runs between batches for incremental use.
-
-Scale: a frequent passage is one entry in a chunk's run however often the chunk has it, so a shard grows
-with the number of chunks at most; shards are as many as the number of fingerprints demands
-(``PER_SHARD``).  Text crosses the network once, compressed, and again for candidate documents only.
+Scale: a frequent passage is one entry per chunk however often the chunk has it; text crosses the network once,
+compressed, and again for candidate documents only.  A single document is handled by one task.
 
 Defined results: null or empty text has 0 words and keeps the empty string; fewer than ``width`` words:
 nothing is removed; the removal does not depend on the order of rows; repeated rows are copies of each
@@ -28,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +34,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.common import batches, utf8, write_shared
+from quire.llm.common import batches, shared_dir, utf8, write_shared
 from quire.llm.word_hash import BASES, WordHash, runs, sliding_min
 
-#: Text bytes of a chunk, and fingerprints of a shard.
-CHUNK_BYTES, PER_SHARD = 4_000_000, 2_000_000
+WIDTH, GRAM = 35, 8
+#: Text bytes of a chunk, fingerprints of a hash range in verification, batches of a table.
+CHUNK_BYTES, PER_SHARD, BATCHES = 4_000_000, 2_000_000, 3
+CHUNK = "chunk bigint, docs binary, mins binary, twice binary, lens binary"
 _RUN = "shard int, chunk bigint, k binary, x binary, many binary"
 _WORD = re.compile(rb"[^ \t-\r]+")
 _WORDS: list[WordHash] = []
@@ -150,11 +151,13 @@ def _shards(rows: DataFrame, col) -> int:
     return max(1, -(-int(n) // PER_SHARD))
 
 
-# ---- the operator
+# ---- chunks and their entries
 
 
 def _minimizers(h: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted minimizers of a document, and whether each gram stands in it more than once."""
+    if len(h) < width:
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
     g = runs(h, gram)
     u = np.unique(sliding_min(g, width - gram + 1))
     s = np.sort(g)
@@ -162,134 +165,164 @@ def _minimizers(h: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.nd
     return u, np.isin(u, twice)
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), width: int = 35, gram: int = 8, digest: bool = False) -> DataFrame:
-    """Columns ``keep``, n_words, n_removed and kept: the text without the removed words, or with ``digest`` the SHA-256
-    of the kept words joined by one blank."""
+def chunks_of(df: DataFrame, text_col: str, keep: tuple[str, ...], width: int, gram: int) -> DataFrame:
+    """``CHUNK``: documents packed (k0, k1, ..., text, number of words), with their minimizers."""
     names = [f"k{i}" for i in range(len(keep))]
     part = df.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text_col).alias("_t"))
-    id_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in part.schema.fields[:-1])
 
-    def load(rows):
-        words, n_chunks = _hasher(), 0
-        first = TaskContext.get().partitionId() << 32
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def emit():
-            nonlocal n_chunks
-            b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            texts = b.column(len(names)).to_pylist()
-            lens, mins, twice = [], [], []
-            for t in texts:
-                h = words(t)
-                lens.append(len(h))
-                if len(h) >= width:
-                    u, d = _minimizers(h, width, gram)
-                    mins.append(u)
-                    twice.append(d)
-                else:
-                    mins.append(np.zeros(0, np.uint64))
-                    twice.append(np.zeros(0, bool))
-            n_chunks += 1
-            docs = pa.RecordBatch.from_arrays([*b.columns, pa.array(lens, pa.int64())], [*names, "_t", "_n"])
-            cols = [[first + n_chunks], [_pack(docs)], [np.concatenate(mins).tobytes()], [np.packbits(np.concatenate(twice)).tobytes()], [np.array([len(m) for m in mins], np.uint32).tobytes()]]
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["chunk", "docs", "mins", "twice", "lens"])
+    def pack(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
+        b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        words = _hasher()
+        hashes = [words(t) for t in b.column(len(names)).to_pylist()]
+        found = [_minimizers(h, width, gram) for h in hashes]
+        docs = pa.RecordBatch.from_arrays([*b.columns, pa.array([len(h) for h in hashes], pa.int64())], [*names, "_t", "_n"])
+        mins, twice = np.concatenate([m for m, _ in found]), np.concatenate([t for _, t in found])
+        raws = (_pack(docs), mins.tobytes(), np.packbits(twice).tobytes(), np.array([len(m) for m, _ in found], np.uint32).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([r], pa.binary()) for r in raws]], ["chunk", "docs", "mins", "twice", "lens"])
 
+    def load(rows):
+        number, held, size = TaskContext.get().partitionId() << 24, [], 0
         for whole in batches(rows):
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
                 held.append(b)
                 size += b.column(len(names)).get_total_buffer_size() * b.num_rows // whole.num_rows if whole.num_rows > 64 else b.nbytes
                 if size >= CHUNK_BYTES:
-                    yield emit()
-                    held, size = [], 0
+                    yield pack(held, number)
+                    number, held, size = number + 1, [], 0
         if held:
-            yield emit()
+            yield pack(held, number)
+
+    return part.mapInArrow(load, CHUNK)
 
-    chunks = write_shared(part.mapInArrow(load, "chunk bigint, docs binary, mins binary, twice binary, lens binary"), "substring-chunks")
-    shards = _shards(chunks, F.octet_length("mins") / 8)
 
-    def sparse(rows):
+def entries(chunks: DataFrame) -> DataFrame:
+    """(k, chunk, many): each distinct minimizer of a chunk, and whether it stands there more than once."""
+
+    def flat(rows):
         for b in batches(rows):
             for chunk, mins, twice in zip(*(c.to_pylist() for c in b.columns)):
                 v = _u64(mins)
                 t = np.unpackbits(np.frombuffer(twice, np.uint8), count=len(v)).astype(bool)
-                u, where, n = np.unique(v, return_index=True, return_counts=True)
-                again = n > 1
-                again |= np.isin(u, v[t])
-                yield _as_runs(list(_run_rows(chunk, u, None, again, shards)))
+                u, n = np.unique(v, return_counts=True)
+                many = (n > 1) | np.isin(u, v[t])
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.full(len(u), chunk)), pa.array(many)], ["k", "chunk", "many"])
+
+    return chunks.select("chunk", "mins", "twice").mapInArrow(flat, "k bigint, chunk bigint, many boolean")
+
+
+# ---- verification and removal
+
+
+def _candidates(h: np.ndarray, wanted: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and fingerprints of the windows whose minimizer is wanted (sorted)."""
+    if len(h) < width or not len(wanted):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    m = sliding_min(runs(h, gram), width - gram + 1)
+    at = np.searchsorted(wanted, m)
+    at[at == len(wanted)] = 0
+    start = np.flatnonzero(wanted[at] == m)
+    return start, runs(h, width)[start], (runs(h, width, BASES[1])[start] >> np.uint64(32)).astype(np.uint32)
+
 
-    first = _answers(chunks.select("chunk", "mins", "twice").mapInArrow(sparse, _RUN))
+def _windows(docs: pa.RecordBatch, wanted: np.ndarray, width: int, gram: int):
+    words = _hasher()
+    got = [_candidates(words(t), wanted, width, gram) for t in docs.column("_t").to_pylist()]
+    return got, np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got])
 
-    def candidates(h: np.ndarray, wanted: np.ndarray):
-        """Starts and fingerprints of the windows whose minimizer is wanted (sorted)."""
-        m = sliding_min(runs(h, gram), width - gram + 1)
-        at = np.searchsorted(wanted, m)
-        at[at == len(wanted)] = 0
-        start = np.flatnonzero(wanted[at] == m)
-        return start, runs(h, width)[start], (runs(h, width, BASES[1])[start] >> np.uint64(32)).astype(np.uint32)
+
+def _hits(mins: bytes, lens: bytes, wanted: np.ndarray) -> np.ndarray:
+    """For each document of a chunk, how many of its minimizers are wanted."""
+    sizes = np.frombuffer(lens, np.uint32).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(np.isin(_u64(mins), wanted))])
+    at = np.cumsum(sizes)
+    return ends[at] - ends[at - sizes]
+
+
+def remove(chunks: DataFrame, found: DataFrame, kinds: list[str], width: int, gram: int, digest: bool, others: DataFrame | None = None) -> DataFrame:
+    """The documents of chunks without their repeated words, verified among themselves and with ``others``.
+
+    found: (chunk, k) of the minimizers that came again; kinds: names and types of the documents' own columns."""
+    names = [f"k{i}" for i in range(len(kinds))]
+    fields = ", ".join(f"{n} {k.split(' ', 1)[1]}" for n, k in zip(names, kinds))
+    wanted = found.groupBy("chunk").agg(F.collect_set("k").alias("wanted"))  # within a chunk
+    all_chunks = chunks.withColumn("own", F.lit(True))
+    if others is not None:
+        all_chunks = all_chunks.union(others.withColumn("own", F.lit(False)))
+    out_names = [*names, "n_words", "n_removed", "kept", "chunk", "docs", "wanted", "most", "own"]
 
     def settle(rows):
         """Documents without a candidate window are done; the others go on, packed, with what was found."""
         for b in batches(rows):
-            for chunk, packed, mins, lens, answers in zip(*(c.to_pylist() for c in b.columns)):
-                v, ends = _u64(mins), np.cumsum(np.frombuffer(lens, np.uint32), dtype=np.int64)
-                wanted = np.unique(v)
-                wanted = wanted[_found(answers, wanted, shards)]
-                hit = np.isin(v, wanted)
-                docs = _unpack(packed)
-                count = np.add.reduceat(np.append(hit, False), np.concatenate([[0], ends[:-1]])) if len(ends) else np.zeros(0)
-                count = np.where(np.frombuffer(lens, np.uint32) > 0, count, 0)
-                open_ = count > 0
-                done = docs.filter(pa.array(~open_))
-                kept = [_finish(t, None, digest) for t in done.column("_t").to_pylist()]
-                n = done.num_rows
-                yield pa.RecordBatch.from_arrays([*done.columns[: len(names)], done.column("_n"), pa.array([0] * n, pa.int64()), pa.array(kept, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], out_names)
+            *_, own_col, lists = b.columns
+            for i, (chunk, packed, mins, lens, own) in enumerate(zip(*(c.to_pylist() for c in b.columns[:4]), own_col.to_pylist())):
+                ks = lists[i].values
+                some = np.sort(ks.to_numpy().view(np.uint64)) if ks is not None else np.zeros(0, np.uint64)
+                docs, open_ = _unpack(packed), _hits(mins, lens, some) > 0
+                if own and not open_.all():
+                    done = docs.filter(pa.array(~open_))
+                    n, kept = done.num_rows, [_finish(t, None, digest) for t in done.column("_t").to_pylist()]
+                    tail = [pa.nulls(n, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_())]
+                    yield pa.RecordBatch.from_arrays([*done.columns[: len(names)], done.column("_n"), pa.array([0] * n, pa.int64()), pa.array(kept, pa.string()), *tail], out_names)
                 if open_.any():
-                    raw = _pack(docs.filter(pa.array(open_)))
-                    total = int(np.maximum(np.asarray(docs.column("_n"))[open_] - width + 1, 0).sum())
-                    yield pa.RecordBatch.from_arrays([*[pa.nulls(1, docs.schema.field(i).type) for i in range(len(names))], pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.array([chunk], pa.int64()), pa.array([raw], pa.binary()), pa.array([wanted.tobytes()], pa.binary()), pa.array([total], pa.int64())], out_names)
-
-    out_names = [*names, "n_words", "n_removed", "kept", "chunk", "docs", "wanted", "most"]
-    settled = write_shared(chunks.select("chunk", "docs", "mins", "lens").join(first, "chunk", "left").select("chunk", "docs", "mins", "lens", "answers").mapInArrow(settle, f"{id_fields}, n_words bigint, n_removed bigint, kept string, chunk bigint, docs binary, wanted binary, most bigint"), "substring-settled")
-    rest = settled.where("chunk is not null").select("chunk", "docs", "wanted", "most")
-    shards2 = _shards(rest, F.col("most"))
-
-    def windows(docs: pa.RecordBatch, wanted: np.ndarray):
-        words = _hasher()
-        got = [candidates(words(t), wanted) for t in docs.column("_t").to_pylist()]
-        return got, np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got])
+                    docs = docs.filter(pa.array(open_))
+                    most = int(np.maximum(np.asarray(docs.column("_n")) - width + 1, 0).sum())
+                    head = [*[pa.nulls(1, docs.schema.field(j).type) for j in range(len(names))], pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string())]
+                    tail = (pa.array([chunk], pa.int64()), pa.array([_pack(docs)], pa.binary()), pa.array([some.tobytes()], pa.binary()), pa.array([most], pa.int64()), pa.array([own]))
+                    yield pa.RecordBatch.from_arrays([*head, *tail], out_names)
+
+    joined = all_chunks.select("chunk", "docs", "mins", "lens", "own").join(wanted, "chunk", "left")
+    schema = f"{fields}, n_words bigint, n_removed bigint, kept string, chunk bigint, docs binary, wanted binary, most bigint, own boolean"
+    settled = write_shared(joined.mapInArrow(settle, schema), "substring-settled")
+    rest = settled.where("chunk is not null")
+    shards = _shards(rest, F.col("most"))
 
     def dense(rows):
         for b in batches(rows):
-            for chunk, packed, wanted in zip(*(c.to_pylist() for c in b.columns)):
-                _, k, x = windows(_unpack(packed), _u64(wanted))
-                yield _as_runs(list(_run_rows(chunk, k, x, np.zeros(len(k), bool), shards2)))
+            for chunk, packed, want in zip(*(c.to_pylist() for c in b.columns)):
+                _, k, x = _windows(_unpack(packed), _u64(want), width, gram)
+                yield _as_runs(list(_run_rows(chunk, k, x, np.zeros(len(k), bool), shards)))
 
     second = _answers(rest.select("chunk", "docs", "wanted").mapInArrow(dense, _RUN))
 
     def cut(rows):
         for b in batches(rows):
-            for packed, wanted, answers in zip(*(c.to_pylist() for c in b.columns)):
+            for packed, want, answers in zip(*(c.to_pylist() for c in b.columns)):
                 docs = _unpack(packed)
-                got, k, _ = windows(docs, _u64(wanted))
-                found, at, removed, kept = _found(answers, k, shards2), 0, [], []
+                got, k, _ = _windows(docs, _u64(want), width, gram)
+                hit, at, removed, kept = _found(answers, k, shards), 0, [], []
                 for text, n, (start, _, _) in zip(docs.column("_t").to_pylist(), docs.column("_n").to_pylist(), got):
-                    s = start[found[at : at + len(start)]]
+                    s = start[hit[at : at + len(start)]]
                     at += len(start)
-                    if not len(s):
-                        removed.append(0)
-                        kept.append(_finish(text, None, digest))
-                        continue
-                    edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, s, 1)
-                    np.add.at(edge, s + width, -1)
-                    stay = np.cumsum(edge)[:n] == 0
-                    removed.append(int(n - stay.sum()))
+                    stay = covered(s, n, width) if len(s) else None
+                    removed.append(0 if stay is None else int(n - stay.sum()))
                     kept.append(_finish(text, stay, digest))
                 yield pa.RecordBatch.from_arrays([*docs.columns[: len(names)], docs.column("_n"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], [*names, "n_words", "n_removed", "kept"])
 
-    last = rest.join(second, "chunk", "left").select("docs", "wanted", "answers").mapInArrow(cut, f"{id_fields}, n_words bigint, n_removed bigint, kept string")
+    own = rest.where("own").select("chunk", "docs", "wanted")
+    last = own.join(second, "chunk", "left").select("docs", "wanted", "answers").mapInArrow(cut, f"{fields}, n_words bigint, n_removed bigint, kept string")
     every = settled.where("chunk is null").select(*names, "n_words", "n_removed", "kept").unionByName(last)
-    return every.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "n_words", "n_removed", "kept")
+    return every.select(*[F.col(n).alias(k.split(" ", 1)[0]) for n, k in zip(names, kinds)], "n_words", "n_removed", "kept")
+
+
+def covered(starts: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Which of n words no window covers."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + width, -1)
+    return np.cumsum(edge)[:n] == 0
+
+
+def remove_repeats(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), width: int = WIDTH, gram: int = GRAM, digest: bool = False, batch_count: int = BATCHES) -> DataFrame:
+    """Columns ``keep``, n_words, n_removed and kept: the text without the removed words, or with ``digest`` the SHA-256
+    of the kept words joined by one blank."""
+    from quire.llm.substring_index import Index
+
+    index = Index(df.sparkSession, f"{shared_dir(df.sparkSession)}/quire-substring-index-{uuid.uuid4().hex}", width, gram)
+    chunks = write_shared(index.load(df, text_col, keep), "substring-chunks")
+    for i in range(batch_count):
+        index.add(chunks.where(F.pmod("chunk", F.lit(batch_count)) == i), str(i))
+    found = index.found()
+    index.close()
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
+    return remove(chunks, found, kinds, width, gram, digest)

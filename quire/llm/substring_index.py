@@ -1,164 +1,162 @@
-"""The fingerprint index that stays between batches: append, match, compact.
+"""The log-structured fingerprint index: sorted immutable runs, merge-joined with each new batch, then compacted.
 
-``path/run-N`` is an immutable run: per shard one sorted array of window fingerprints (64 bits, and 32 of an
-independent hash to verify).  A new batch brings its own sorted runs, which are merge-joined shard by shard
-with all runs of the index.  ``compact`` merges the runs into ``path/base-N``; a base stands for every run up
-to N, and is only read once it is complete, so a lost job leaves the index as it was.
+Indexed are the window hashes of ``substring``: for each window of ``width`` words the least hash of its word
+grams (equal windows have equal ones), once per chunk of documents.  On disk, all in ``path``:
 
-A window of the new batch is removed if its words also start anywhere else in the batch or in any batch
-before; what was handed out earlier stays as it is.
+- ``state-N``: the manifest, a small JSON file: window width, gram, buckets, live runs, batches.  The highest
+  one counts.  It is written last, so a lost job leaves the index as it was, and files no manifest names are dead.
+- ``run-*``: Parquet (k, chunk, many), in ``buckets`` buckets by k, each sorted by k; never changed.
+- ``chunks-*``: the documents of a batch, packed, which later batches are verified against.
+- ``again-*``: (chunk, k) of every entry, new or old, whose hash a batch found again.
 
-Defined results are those of ``substring.remove_repeats``; an index without runs matches the batch with
-itself; an empty batch appends an empty run.
-"""
-
-from __future__ import annotations
-
-import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from quire.llm import substring as sub
-from quire.llm.common import batches, write_shared
-from quire.llm.word_hash import BASES, runs
-
-_INDEX = "shard int, k binary, x binary"
-_PAIR = np.dtype([("k", "<u8"), ("x", "<u4")])
+A batch brings one run.  Runs have the same buckets, so bucket meets bucket in a merge join: no run is
+shuffled again, and a hash in many chunks is one entry in each, never a pair of them.  More than ``fanout``
+runs are merged into one (``compact``), with more buckets once they hold over ``PER_BUCKET`` entries.
 
+``append`` takes a batch by its name.  A batch that the manifest has is not added again: it is answered as it
+was the first time.  What was handed out for earlier batches stays as it is; ``found`` of all batches together
+judges all documents alike, whatever the batches were, which is what ``substring.remove_repeats`` does.
 
-def _sorted_unique(k: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.lexsort((x, k))
-    k, x = k[at], x[at]
-    first = np.ones(len(k), bool)
-    first[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1])
-    return k[first], x[first]
-
+Defined results are those of ``substring``; an index without runs matches a batch with itself; an empty batch
+is an empty run; another width or gram than the index has is refused.
+"""
 
-def _arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    k = [np.frombuffer(r, np.uint64) for r in t["k"].to_pylist()]
-    x = [np.frombuffer(r, np.uint32) for r in t["x"].to_pylist()]
-    return np.concatenate(k or [np.zeros(0, np.uint64)]), np.concatenate(x or [np.zeros(0, np.uint32)])
+from __future__ import annotations
 
+import json
+import uuid
 
-def _one(shard: int, k: np.ndarray, x: np.ndarray) -> pa.Table:
-    return pa.table({"shard": pa.array([shard], pa.int32()), "k": pa.array([k.tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary())})
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from quire.llm import substring as sub
 
-def _windows(docs: pa.RecordBatch, width: int) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Words of each text (the last column), and the fingerprints of all windows in order."""
-    hashes = [sub._hasher()(t) for t in docs.column(docs.num_columns - 1).to_pylist()]
-    k = [runs(h, width) for h in hashes]
-    x = [(runs(h, width, BASES[1]) >> np.uint64(32)).astype(np.uint32) for h in hashes]
-    return [len(h) for h in hashes], np.concatenate(k), np.concatenate(x)
+_ENTRY = "k BIGINT, chunk BIGINT, many BOOLEAN"
+_AGAIN = "chunk bigint, k bigint"
+#: Entries of a bucket beyond which compaction doubles the buckets.
+PER_BUCKET = 50_000_000
+#: Bits of a chunk's number below that of its batch.
+BATCH_BITS = 48
 
 
 class Index:
-    def __init__(self, spark: SparkSession, path: str, width: int = 35, shards: int = 64):
-        self.spark, self.path, self.width, self.shards = spark, path.rstrip("/"), width, shards
-
-    # ---- what is on disk
-
-    def _listed(self) -> tuple[int, list[str]]:
-        """The number of the last run, and the folders that make up the index."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        done = [n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        number = lambda n: int(n.split("-")[1])
-        bases = sorted((n for n in done if n.startswith("base-")), key=number)
-        since = number(bases[-1]) if bases else -1
-        live = [n for n in done if n.startswith("run-") and number(n) > since]
-        return max([since, *map(number, (n for n in names if n.startswith("run-")))]), [f"{self.path}/{n}" for n in [*bases[-1:], *sorted(live, key=number)]]
-
-    def runs(self) -> DataFrame:
-        folders = self._listed()[1]
-        return self.spark.read.schema(_INDEX).parquet(*folders) if folders else self.spark.createDataFrame([], _INDEX)
-
-    # ---- a batch
-
-    def _chunks(self, df: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-        part = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_t"))
-
-        def load(rows):
-            at = TaskContext.get().partitionId() << 32
-            for whole in batches(rows):
-                for lo in range(0, whole.num_rows, 256):
-                    at += 1
-                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([sub._pack(whole.slice(lo, 256))], pa.binary())], ["chunk", "docs"])
-
-        return write_shared(part.mapInArrow(load, "chunk bigint, docs binary"), "index-batch")
-
-    def append(self, df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), digest: bool = False) -> DataFrame:
-        """Match a batch with itself and all runs, add its run, and return keep, n_words, n_removed, kept."""
-        width, shards = self.width, self.shards
-        chunks = self._chunks(df, text_col, keep)
-
-        def dense(rows):
-            for b in batches(rows):
-                for chunk, packed in zip(*(c.to_pylist() for c in b.columns)):
-                    _, k, x = _windows(sub._unpack(packed), width)
-                    yield sub._as_runs(list(sub._run_rows(chunk, k, x, np.zeros(len(k), bool), shards)))
-
-        mine = write_shared(chunks.mapInArrow(dense, sub._RUN), "index-runs")
-
-        def answer(key, t, old):
-            got = sub._shard_answers(t) if t.num_rows else pa.table({"chunk": pa.array([], pa.int64()), "shard": pa.array([], pa.int32()), "bits": pa.array([], pa.binary())})
-            if not t.num_rows or not old.num_rows:
-                return got
-            hk, hx = _arrays(old)
-            known = np.zeros(len(hk), _PAIR)
-            known["k"], known["x"] = hk, hx
-            bits = []
-            for raw, k, x in zip(got["bits"].to_pylist(), t["k"].to_pylist(), t["x"].to_pylist()):
-                k, x = np.frombuffer(k, np.uint64), np.frombuffer(x, np.uint32)
-                found = np.unpackbits(np.frombuffer(raw, np.uint8), count=len(k)).astype(bool)
-                maybe = np.flatnonzero(np.isin(k, hk) & ~found)
-                own = np.zeros(len(maybe), _PAIR)
-                own["k"], own["x"] = k[maybe], x[maybe]
-                found[maybe[np.isin(own, known)]] = True
-                bits.append(np.packbits(found).tobytes())
-            return pa.table({"chunk": got["chunk"], "shard": got["shard"], "bits": pa.array(bits, pa.binary())})
-
-        got = mine.groupBy("shard").cogroup(self.runs().groupBy("shard")).applyInArrow(answer, "chunk bigint, shard int, bits binary")
-        got = write_shared(got.groupBy("chunk").agg(F.collect_list(F.struct("shard", "bits")).alias("answers")), "index-answers")
-
-        def add(key, t):
-            return _one(key[0].as_py(), *_sorted_unique(*_arrays(t)))
-
-        mine.select("shard", "k", "x").groupBy("shard").applyInArrow(add, _INDEX).write.parquet(f"{self.path}/run-{self._listed()[0] + 1:06d}")
-        n_keep = len(keep)
-        fields = ", ".join(f"k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-
-        def cut(rows):
-            for b in batches(rows):
-                for packed, answers in zip(*(c.to_pylist() for c in b.columns)):
-                    docs = sub._unpack(packed)
-                    lens, k, _ = _windows(docs, width)
-                    found, at, removed, kept = sub._found(answers, k, shards), 0, [], []
-                    for text, n in zip(docs.column(n_keep).to_pylist(), lens):
-                        m = max(0, n - width + 1)
-                        s = np.flatnonzero(found[at : at + m])
-                        at += m
-                        edge = np.zeros(n + 1, np.int64)
-                        np.add.at(edge, s, 1)
-                        np.add.at(edge, s + width, -1)
-                        stay = np.cumsum(edge)[:n] == 0
-                        removed.append(int(n - stay.sum()))
-                        kept.append(sub._finish(text, stay, digest))
-                    yield pa.RecordBatch.from_arrays([*docs.columns[:n_keep], pa.array(lens, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], [*docs.schema.names[:n_keep], "n_words", "n_removed", "kept"])
-
-        out = chunks.join(got, "chunk", "left").select("docs", "answers").mapInArrow(cut, f"{fields}, n_words bigint, n_removed bigint, kept string")
-        return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_removed", "kept")
+    def __init__(self, spark: SparkSession, path: str, width: int = sub.WIDTH, gram: int = sub.GRAM, fanout: int = 2):
+        self.spark, self.path, self.fanout = spark, path.rstrip("/"), fanout
+        jvm = spark._jvm
+        self._file = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._file(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.number, self.state = self._newest()
+        if self.state is None:
+            self.state = {"width": width, "gram": gram, "buckets": int(spark.conf.get("spark.sql.shuffle.partitions")), "runs": [], "batches": {}}
+        if (self.state["width"], self.state["gram"]) != (width, gram):
+            raise ValueError(f"the index has windows of {self.state['width']} words and grams of {self.state['gram']}")
+
+    # ---- the manifest
+
+    def _newest(self) -> tuple[int, dict | None]:
+        root = self._file(self.path)
+        names = [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        numbers = [int(n.split("-")[1]) for n in names if n.startswith("state-")]
+        if not numbers:
+            return 0, None
+        at = self._file(f"{self.path}/state-{max(numbers):06d}")
+        source = self._fs.open(at)
+        try:
+            raw = bytes(source.readNBytes(int(self._fs.getFileStatus(at).getLen())))
+        finally:
+            source.close()
+        return max(numbers), json.loads(raw)
+
+    def _commit(self) -> None:
+        """Write the next manifest; rename makes it appear whole, and fails if another writer was first."""
+        self.number += 1
+        half, whole = self._file(f"{self.path}/.state-{uuid.uuid4().hex}"), self._file(f"{self.path}/state-{self.number:06d}")
+        out = self._fs.create(half, False)
+        out.write(bytearray(json.dumps(self.state).encode()))
+        out.close()
+        if self._fs.exists(whole) or not self._fs.rename(half, whole):
+            raise RuntimeError("another writer has changed the index")
+
+    # ---- runs
+
+    def _write_run(self, entries: DataFrame, buckets: int) -> dict:
+        run = {"name": f"run-{uuid.uuid4().hex}", "buckets": buckets}
+        name = "quire_" + run["name"].replace("-", "_")
+        entries.repartition(buckets, "k").write.bucketBy(buckets, "k").sortBy("k").option("path", f"{self.path}/{run['name']}").option("compression", "lz4").format("parquet").saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the files stay
+        return run
+
+    def _run(self, run: dict) -> DataFrame:
+        """A run as a bucketed table.  The table is only a name in this session: a plan keeps what it needs of it."""
+        name = "quire_" + run["name"].replace("-", "_")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({_ENTRY}) USING parquet CLUSTERED BY (k) SORTED BY (k) INTO {run['buckets']} BUCKETS LOCATION '{self.path}/{run['name']}'")
+        return self.spark.table(name)
+
+    def runs(self) -> list[DataFrame]:
+        """The live runs, oldest first."""
+        return [self._run(r) for r in self.state["runs"]]
+
+    def close(self) -> None:
+        """Forget the tables' names; the files stay."""
+        for t in self.spark.catalog.listTables():
+            if t.name.startswith("quire_run_"):
+                self.spark.sql(f"DROP TABLE IF EXISTS {t.name}")
 
     def compact(self) -> None:
-        """Merge all runs into one base; the runs it stands for are no longer read."""
-        last, folders = self._listed()
-        if len(folders) < 2:
+        """Merge all runs into one; those it stands for are no longer read."""
+        if len(self.state["runs"]) < 2:
             return
-
-        def merge(key, t):
-            return _one(key[0].as_py(), *_sorted_unique(*_arrays(t)))
-
-        self.runs().groupBy("shard").applyInArrow(merge, _INDEX).write.parquet(f"{self.path}/base-{last:06d}")
+        runs, buckets = self.runs(), self.state["buckets"]
+        every = runs[0]
+        for r in runs[1:]:
+            every = every.union(r)
+        if every.count() > PER_BUCKET * buckets:
+            buckets *= 2
+        self.state |= {"buckets": buckets, "runs": [self._write_run(every, buckets)]}
+        self._commit()
+
+    # ---- batches
+
+    def load(self, df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+        """The chunks of some documents."""
+        return sub.chunks_of(df, text_col, keep, self.state["width"], self.state["gram"])
+
+    def add(self, chunks: DataFrame, batch: str) -> None:
+        """Add the run of a batch of chunks and what it found again.  Chunks have numbers of their own in the index."""
+        if batch in self.state["batches"]:
+            return
+        if len(self.state["runs"]) >= self.fanout:
+            self.compact()
+        run = self._write_run(sub.entries(chunks), self.state["buckets"])
+        new = self._run(run)
+        counted = new.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k")))
+        again = counted.where("n > 1 or many").select("chunk", "k")
+        for old in self.runs():
+            again = again.union(new.join(old, "k", "left_semi").select("chunk", "k")).union(old.join(new, "k", "left_semi").select("chunk", "k"))
+        name = f"again-{uuid.uuid4().hex}"
+        again.write.option("compression", "lz4").parquet(f"{self.path}/{name}")
+        self.state["runs"].append(run)
+        self.state["batches"][batch] = {"again": name, "number": len(self.state["batches"])}
+        self._commit()
+
+    def found(self, batches: list[str] | None = None) -> DataFrame:
+        """(chunk, k): what the batches, or all, found again; may repeat itself."""
+        names = [v["again"] for k, v in self.state["batches"].items() if batches is None or k in batches]
+        return self.spark.read.schema(_AGAIN).parquet(*[f"{self.path}/{n}" for n in names]) if names else self.spark.createDataFrame([], _AGAIN)
+
+    def append(self, df: DataFrame, batch: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), digest: bool = False) -> DataFrame:
+        """Match a batch with itself and all before it, add it, and return keep, n_words, n_removed, kept for its documents."""
+        kinds = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
+        known = self.state["batches"].get(batch)
+        if known is None:
+            number, place = len(self.state["batches"]), f"{self.path}/chunks-{uuid.uuid4().hex}"
+            self.load(df, text_col, keep).withColumn("chunk", F.col("chunk") + (number << BATCH_BITS)).write.option("compression", "lz4").parquet(place)
+            self.add(self.spark.read.schema(sub.CHUNK).parquet(place), batch)
+            self.state["batches"][batch]["chunks"] = place.rsplit("/", 1)[1]
+            self._commit()
+            known = self.state["batches"][batch]
+        wanted = self.found([batch])
+        folders = {k: v["chunks"] for k, v in self.state["batches"].items() if v["number"] <= known["number"]}
+        mine = self.spark.read.schema(sub.CHUNK).parquet(f"{self.path}/{known['chunks']}")
+        before = [f"{self.path}/{f}" for k, f in folders.items() if k != batch]
+        old = self.spark.read.schema(sub.CHUNK).parquet(*before).join(wanted, "chunk", "left_semi") if before else None
+        return sub.remove(mine, wanted, kinds, self.state["width"], self.state["gram"], digest, old)

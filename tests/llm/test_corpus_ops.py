@@ -74,9 +74,10 @@ def test_index_between_batches(spark, tmp_path):
     from quire.llm.substring_index import Index
 
     rows, df = corpus(spark, 40)
-    index, seen, width = Index(spark, str(tmp_path / "index"), shards=3), Counter(), 35
-    for batch in range(3):
-        part = [r for r in rows if r[0] % 3 == batch]
+    path = str(tmp_path / "index")
+    index, seen, width, answers = Index(spark, path), Counter(), 35, []
+    for batch in range(4):
+        part = [r for r in rows if r[0] % 4 == batch]
         words = {r[0]: WORD.findall(r[1] or "") for r in part}
         for w in words.values():
             seen.update(tuple(w[s : s + width]) for s in range(len(w) - width + 1))
@@ -87,13 +88,43 @@ def test_index_between_batches(spark, tmp_path):
                 if seen[tuple(w[s : s + width])] > 1:
                     keep[s : s + width] = [False] * width
             want[i] = (len(w), len(w) - sum(keep))
-        got = index.append(df.where(F.col("doc_id") % 3 == batch)).collect()
+        mine = df.where(F.col("doc_id") % 4 == batch)
+        got = index.append(mine, f"b{batch}").collect()
         assert {r.doc_id: (r.n_words, r.n_removed) for r in got} == want
-        if batch == 1:
-            before = index.runs().agg(F.sum(F.octet_length("k"))).first()[0]
-            index.compact()
-            assert index.runs().count() <= 3 and index.runs().agg(F.sum(F.octet_length("k"))).first()[0] <= before
-    assert index.append(df.where("false")).count() == 0
+        answers.append(want)
+        index = Index(spark, path)  # reopened
+        spark.conf.set("spark.sql.shuffle.partitions", "3" if batch % 2 == 0 else "4")  # its buckets stay
+        assert len(index.state["runs"]) <= 2
+    for batch in (1, 3):  # a batch that is tried again is answered alike and not added
+        mine = df.where(F.col("doc_id") % 4 == batch)
+        assert {r.doc_id: (r.n_words, r.n_removed) for r in index.append(mine, f"b{batch}").collect()} == answers[batch]
+    entries = sum(r.count() for r in index.runs())
+    index.compact()
+    assert len(index.state["runs"]) == 1 and index.runs()[0].count() == entries
+    assert index.append(df.where("false"), "empty").count() == 0
+    with pytest.raises(ValueError):
+        Index(spark, path, width=20)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_index_ignores_what_no_manifest_names(spark, tmp_path):
+    """A batch or compaction that was lost before its manifest leaves the index as it was."""
+    from quire.llm.substring_index import Index
+
+    rows, df = corpus(spark, 20)
+    index = Index(spark, str(tmp_path / "index"))
+    first = index.append(df.where("doc_id < 14"), "a").count()
+    lost = Index(spark, str(tmp_path / "index"))
+    lost._commit = lambda: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        lost.append(df.where("doc_id >= 14"), "b")
+    again = Index(spark, str(tmp_path / "index"))
+    assert list(again.state["batches"]) == ["a"] and len(again.state["runs"]) == 1
+    got = again.append(df.where("doc_id >= 14"), "b").collect()
+    whole = plain_removal(rows)
+    removed = {r.doc_id: r.n_removed for r in got}
+    # the newer documents repeat themselves and older ones, as over the whole table but for what only older ones hold
+    assert first + len(got) == len(rows) and removed == {i: whole[i][1] for i in removed}
 
 
 def plain_fingerprint(text):
