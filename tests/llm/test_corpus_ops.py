@@ -293,3 +293,49 @@ def test_archives_round_trip(spark, tmp_path):
     big = warc.captures(df, min_bytes=10**6).collect()
     assert {r.capture.type for r in big} == {"response"}
     assert warc.captures(df.where("false")).count() == 0
+
+
+def _warc(kind, rid, block=b"", *more):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {rid}", *more, f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    import gzip
+
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nbody" + b"z" * 200_000
+    good = [
+        _warc("warcinfo", "<i>", b"software: x\r\n"),
+        _warc("request", "<q1>", b"GET / HTTP/1.1\r\n\r\n"),  # named by its response
+        _warc("response", "<r1>", http, "WARC-Concurrent-To: <q1>", "Content-Type: application/http; msgtype=response", "warc-payload-digest: md5:abc"),
+        _warc("metadata", "<m1>", b"", "WARC-Concurrent-To: <r1>", "WARC-Concurrent-To: <r2>"),  # of two captures
+        _warc("revisit", "<r2>", b"", "WARC-Refers-To: <r1>", "WARC-Target-URI: http://a/", " b"),
+        _warc("request", "<q9>", b"", "WARC-Concurrent-To: <nobody>"),
+    ]
+    (tmp_path / "w").mkdir()
+    files = {"a.warc.gz": b"".join(map(gzip.compress, good)), "b.warc": b"".join(good).replace(b"1>", b"3>").replace(b"2>", b"4>")}
+    files |= {"cut.warc.gz": gzip.compress(_warc("response", "<r5>", b"HTTP/1.1 200 OK\r\nContent-Length: 1\r\n\r\nx")) + gzip.compress(good[2])[:-60], "none.warc": b"", "bad.warc": b"hello", "short.warc": good[2][:-50]}
+    for name, raw in files.items():
+        (tmp_path / "w" / name).write_bytes(raw)
+    records = warc.read_archives(spark, str(tmp_path / "w"), glob="*.warc*")
+    assert records.where("error is not null").count() == 3 and records.where("error is null").count() == 13
+    got = {r.record_id: r for r in warc.assemble(records).collect()}
+    assert set(got) == {"<r1>", "<r2>", "<r3>", "<r4>", "<r5>"}
+    for a, b in (("1", "2"), ("3", "4")):
+        r = got[f"<r{a}>"]
+        assert r.request.record_id == f"<q{a}>" and r.metadata.record_id == f"<m{a}>" and got[f"<r{b}>"].metadata.record_id == f"<m{a}>"
+        assert r.capture.payload_bytes == 200_004 and bytes(r.capture.payload)[:5] == b"bodyz" and r.capture.payload_ok is None and r.capture.target_uri is None
+        v = got[f"<r{b}>"].capture
+        assert v.payload_bytes is None and v.payload is None and v.refers_to_id == f"<r{a}>" and v.target_uri == "http://a/ b"
+    assert got["<r5>"].capture.payload_bytes == 1 and got["<r5>"].request is None
+
+
+def test_archive_files_are_members_of_bounded_size(spark, tmp_path):
+    df = spark.createDataFrame([(i, "http://h/x", random.Random(i).randbytes(3000).hex()) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, str(tmp_path / "w"), segment_bytes=30_000)
+    files = [f.read_bytes() for f in (tmp_path / "w").glob("part-*")]
+    assert len(files) > 3 and all(f.count(b"\x1f\x8b\x08\x00") >= 4 and len(f) < 60_000 for f in files)
+    import gzip
+
+    assert sum(gzip.decompress(f).count(b"WARC/1.1\r\n") for f in files) == 120
+    assert warc.read_archives(spark, str(tmp_path / "w")).where("error is null").count() == 120
