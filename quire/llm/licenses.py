@@ -1,10 +1,11 @@
 """Licence scans with ordered signature rules, in DataFrame functions only.
 
-Text becomes lower-case words joined by single blanks.  Cheap substring gates leave most texts alone; in the
-others every rule whose keyword is present is matched (a few hundred regexes), each match is a detection:
-an interval of words with its rule's label, priority and weight.  Detections are resolved in order of
-start, longest first: one that lies within an interval of equal or higher priority is suppressed.
-The four base phrases are counted at all their places and their labels always stay.
+Text becomes lower-case words joined by single blanks.  A prefilter intersects the words of a text with the words
+of all rules, which leaves most texts alone; in the others every rule that has one of its words is matched (its
+regex is a literal, compiled once a task).  Each match is a detection: an interval of words with its rule's label,
+priority and weight.  Detections are resolved in order of start, longest first: one that lies within an interval
+of equal or higher priority is suppressed.  The four base phrases are counted at all their places and their labels
+always stay.
 
 All of it is one projection per row: no shuffle, no join, nothing that groups rows.
 
@@ -17,52 +18,83 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.llm.license_rules import GATES, signatures
+from quire.llm.license_rules import FAMILIES, GRANT, TAG, signatures
 
 #: phrase -> label
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 _SPAN = "array<struct<first:int,last:int,priority:int,rule:int,label:string,weight:double>>"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def normal(text: Column) -> Column:
-    """Lower-case words, each with one blank before it, and one at the end; a lone blank if there is none."""
-    # lower() also lowers letters beyond A-Z; no word boundary and no ASCII letter of a rule depends on those
-    words = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
-    words = F.trim(words)
+    """Words with A-Z lower-cased, each with one blank before it, and one at the end; a lone blank if there is none."""
+    text = F.coalesce(text, F.lit(""))
+    # lower() is quicker, and lowers letters beyond A-Z, which no rule has and which stay letters; only the lower
+    # case of these two has an ASCII letter
+    odd = F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130"))
+    low = F.when(odd, F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
+    words = F.trim(F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
     return F.when(words == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
 
 
+def _words(words) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
+def hits(text: Column) -> Column:
+    """The words of a normal() text that are words of rules."""
+    return F.array_intersect(F.split(text, " "), _words(sorted({w for *_, words, _ in signatures() for w in words} | {p.split()[-1] for p in BASE})))
+
+
 def _blanks(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
-def _places(text: Column, regex: Column) -> Column:
-    """array<struct<first int, last int>>: words (from 0) of all matches of whole words."""
-    marked = F.regexp_replace(text, F.concat(F.lit("(?<= )(?:"), regex, F.lit(")(?= )")), F.lit("\x01$0\x02"))
+def _whole(regex: str) -> str:
+    return f"(?<= )(?:{regex})(?= )"
+
+
+def _marked(text: Column, regex: str) -> Column:
+    """The text with its matches of whole words between U+0001 and U+0002, which normal() never leaves."""
+    return F.regexp_replace(text, _whole(regex), "\x01$0\x02")
+
+
+def _places(marked: Column) -> Column:
+    """array<struct<first, last, head>>: words (from 0) and text of all marked matches."""
     parts = F.split(marked, "\x01")
-    none = F.array().cast("array<struct<first:int,last:int>>")
+    none = F.array().cast("array<struct<first:int,last:int,head:string>>")
 
     def step(acc, part):
+        head = F.substring_index(part, "\x02", 1)
         first = acc["at"] - 1
-        last = first + _blanks(F.substring_index(part, "\x02", 1))
-        return F.struct((acc["at"] + _blanks(part)).alias("at"), F.concat(acc["out"], F.array(F.struct(first.cast("int").alias("first"), last.cast("int").alias("last")))).alias("out"))
+        place = F.struct(first.cast("int").alias("first"), (first + _blanks(head)).cast("int").alias("last"), head.alias("head"))
+        return F.struct((acc["at"] + _blanks(part)).alias("at"), F.concat(acc["out"], F.array(place)).alias("out"))
 
     start = F.struct(_blanks(parts[0]).alias("at"), none.alias("out"))
     return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step, lambda acc: acc["out"])
 
 
-def detections(text: Column) -> Column:
-    """All matches of all rules whose keyword is present, unresolved; text is normal()."""
-    rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(w).alias("weight"), F.lit(k).alias("word"), F.lit(r).alias("regex")) for i, (label, p, w, k, r) in enumerate(signatures())])
-    live = F.filter(rules, lambda r: F.contains(text, r["word"]))
+def detections(text: Column, found: Column) -> Column:
+    """All matches of all rules that have a word in ``found``, unresolved; text is normal()."""
+    rules = signatures()
+    names = sum(len(r) for _, r in FAMILIES)
+    gated: dict[tuple[str, ...], Column] = {words: F.arrays_overlap(found, _words(words)) for *_, words, _ in rules}
+    live = [F.struct(F.lit(i).alias("rule"), F.when(gated[words] & F.rlike(text, F.lit(_whole(regex))), _marked(text, regex)).alias("marked")) for i, (*_, words, regex) in enumerate(rules)]
+    label, priority, weight = (F.array(*[F.lit(r[k]) for r in rules]) for k in (0, 1, 2))
+    grants = [v for v in GRANT[3 : GRANT.index(")")].split("|")]
 
     def spans(r):
-        return F.transform(_places(text, r["regex"]), lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label"), r["weight"].alias("weight")))
+        def one(s):
+            name = r["rule"] < names
+            tag, grant = name & s["head"].startswith(TAG), name & F.substring_index(s["head"], " ", 1).isin(grants)
+            p = F.when(tag, 4).when(grant, 3).otherwise(priority[r["rule"]])
+            w = F.when(tag, 1.0).when(grant, 0.9).otherwise(weight[r["rule"]])
+            return F.struct(s["first"].alias("first"), s["last"].alias("last"), p.alias("priority"), r["rule"].alias("rule"), label[r["rule"]].alias("label"), w.alias("weight"))
+
+        return F.transform(_places(r["marked"]), one)
 
-    gate = F.lit(False)
-    for g in GATES:
-        gate = gate | F.contains(text, F.lit(g))
-    return F.when(gate, F.flatten(F.transform(live, spans))).otherwise(F.array().cast(_SPAN))
+    every = F.flatten(F.transform(F.filter(F.array(*live), lambda r: r["marked"].isNotNull()), spans))
+    return F.when(F.size(found) > 0, every).otherwise(F.array().cast(_SPAN))
 
 
 def _ordered(spans: Column) -> Column:
@@ -92,8 +124,9 @@ def scan(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id
     """Columns ``keep``, n_words, base (places of the base phrases), detections, labels, base_labels, score."""
     names = [f"k{i}" for i in range(len(keep))]
     t = df.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], normal(F.col(text_col)).alias("t"))
-    base = [F.when(F.contains("t", F.lit(f" {p} ")), _places(F.col("t"), F.lit(p))).otherwise(F.array().cast("array<struct<first:int,last:int>>")) for p in BASE]
-    t = t.select(*names, (_blanks(F.col("t")) - 1).cast("long").alias("n_words"), F.array(*base).alias("by"), detections(F.col("t")).alias("detections"))
+    t = t.withColumn("found", hits(F.col("t")))
+    base = [F.when(F.array_contains("found", p.split()[-1]) & F.contains("t", F.lit(f" {p} ")), _places(_marked(F.col("t"), p))).otherwise(F.array().cast("array<struct<first:int,last:int,head:string>>")) for p in BASE]
+    t = t.select(*names, (_blanks(F.col("t")) - 1).cast("long").alias("n_words"), F.array(*base).alias("by"), detections(F.col("t"), F.col("found")).alias("detections"))
     t = t.withColumn("resolved", F.when(F.size("detections") > 0, resolve(F.col("detections"))))
     flat = F.transform(F.flatten("by"), lambda s: s["first"])
     found = F.array_sort(F.filter(F.array(*[F.when(F.size(F.col("by")[i]) > 0, F.lit(label)) for i, label in enumerate(BASE.values())]), lambda x: x.isNotNull()))

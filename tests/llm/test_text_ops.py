@@ -280,10 +280,66 @@ def _alternatives(parsed):
     return out
 
 
-def test_license_keywords_are_in_all_that_their_rules_match():
-    for label, _, _, word, pattern in license_rules.signatures():
-        for t in _alternatives(re._parser.parse(pattern)):
-            assert re.fullmatch(pattern, t) and word in f" {t} " and any(g in f" {t} " for g in license_rules.GATES), (label, t)
+def _samples(pattern, rng, n):
+    every = _alternatives(re._parser.parse(pattern))
+    return every if len(every) <= n else rng.sample(every, n)
+
+
+def test_license_rules_match_only_texts_with_one_of_their_words():
+    rng = random.Random(31)
+    rules = license_rules.signatures()
+    assert len({pattern for *_, pattern in rules}) == len(rules)
+    names = [(words, name) for words, of in license_rules.FAMILIES for _, name in of]
+    for (label, _, _, words, pattern), name in itertools.zip_longest(rules, names):
+        bare = name[1] if name else pattern
+        for t in _samples(bare, rng, 400):
+            assert re.fullmatch(pattern, t) and set(t.split()) & set(words), (label, t)
+        if name:
+            tag = license_rules.TAG + label.replace("-", " ").replace(".", " ")
+            assert re.fullmatch(pattern, tag) and "spdx" in words
+
+
+def plain_scan(text):
+    """Labels and score without any prefilter."""
+    lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(lower))
+    t = f" {' '.join(words)} "
+    grants = license_rules.GRANT[3 : license_rules.GRANT.index(")")].split("|")
+    names = sum(len(r) for _, r in license_rules.FAMILIES)
+    found = []
+    for i, (label, p, w, _, pattern) in enumerate(license_rules.signatures()):
+        for m in re.finditer(f"(?<= )(?:{pattern})(?= )", t):
+            first = t.count(" ", 0, m.start()) - 1
+            if i < names and m[0].startswith(license_rules.TAG):
+                p_, w_ = 4, 1.0
+            elif i < names and m[0].split()[0] in grants:
+                p_, w_ = 3, 0.9
+            else:
+                p_, w_ = p, w
+            found.append((first, -(first + m[0].count(" ")), -p_, i, label, w_))
+    found.sort()
+    stays = [s for k, s in enumerate(found) if not any(o[1] <= s[1] and o[2] <= s[2] for o in found[:k])]
+    base = {label for phrase, label in licenses.BASE.items() if f" {phrase} " in t}
+    weight = max((s[5] for s in stays), default=0.0)
+    return sorted(base | {s[4] for s in stays}), max(weight, 0.7) if base else weight
+
+
+def test_license_scan_equals_a_scan_without_prefilter(spark):
+    rng = random.Random(41)
+    filler = "Software the of License KELVIN\u212a public \u0130stanbul domain by with General, version 2.0 cc".split()
+    phrases = [p for *_, pattern in license_rules.signatures() for p in _samples(pattern.split("|(?:(?:licensed")[0], rng, 2)]
+    phrases += [g + n for n in ("gpl v3", "the mit license", "apache license 2 0", "cc by 4 0", "bsd license") for g in _samples(license_rules.GRANT, rng, 3)]
+    texts = []
+    for _ in range(300):
+        parts = [rng.choice(phrases) if rng.random() < 0.4 else " ".join(rng.choice(filler) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 8))]
+        t = rng.choice([" ", ", ", "-", "\n"]).join(parts)
+        texts.append(t.upper() if rng.random() < 0.2 else t)
+    texts += phrases
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "i long, text string").repartition(4), keep=("text",)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        labels, score = plain_scan(r.text)
+        assert r.labels == labels and abs(r.score - score) < 1e-9, r.text
 
 
 def test_licenses_without_a_stray_keyword(spark):
