@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Line ends of a text file, and the further ones that an in-memory string is split at.
 FILE_NEWLINES = r"\r\n|[\n\r]"
@@ -44,6 +44,14 @@ def page(text: Column, number: int, first: int = 800, size: int = 2000) -> Colum
     return F.substring(text, 1, first) if number == 0 else F.substring(text, first + (number - 1) * size + 1, size)
 
 
+def pages(rows: DataFrame, key: str, text: str, first: int = 800, size: int = 2000) -> DataFrame:
+    """(key, page, part): all preview pages of a text, to its end; an empty text has one empty page."""
+    n = F.ceil(F.greatest(F.lit(0), F.length(text) - first) / size).cast("int")
+    rows = rows.select(key, text, F.explode(F.sequence(F.lit(0), n)).alias("page"))
+    part = F.when(F.col("page") == 0, F.substring(F.col(text), 1, first)).otherwise(F.substring(F.col(text), first + (F.col("page") - 1) * size + 1, F.lit(size)))
+    return rows.select(key, "page", part.alias("part"))
+
+
 def locate(text: Column, title: Column) -> Column:
     """struct<pos, line_no>: where a title stands, else its first word; line numbers from 1, null if absent."""
     word = F.get(F.split(title, r"\s+"), F.lit(0))

@@ -59,15 +59,20 @@ def unit_counts(index: DataFrame, book: str = "book", title: str = "title", rule
     return index.select(book, F.explode(units).alias("unit")).groupBy(book, "unit").agg(F.count(F.lit(1)).alias("n"))
 
 
-def analyze(index: DataFrame, book: str = "book", title: str = "title", rules: Rules = DEFAULT) -> DataFrame:
-    """(book, unit, n, n_chapters, has_chapter, accepted) for every container unit of a book."""
+def _judged(index: DataFrame, book: str, order: str, title: str, rules: Rules) -> DataFrame:
+    """Rows of the index (book, idx, t) with unit, n, n_chapters, has_chapter, accepted: one shuffle, by book."""
     chap = _marker("".join(rules.chapter_units), rules)
-    t = index.select(book, container_unit(F.col(title), rules).alias("unit"), compact(F.col(title), rules).rlike(chap).alias("_c"))
-    per_book = t.groupBy(book).agg(F.count(F.when(F.col("unit").isNull(), 1)).alias("n_chapters"), F.max("_c").alias("has_chapter"))
-    per_unit = t.where("unit is not null").groupBy(book, "unit").agg(F.count(F.lit(1)).alias("n"))
+    t = index.select(F.col(book).alias("book"), F.col(order).alias("idx"), F.col(title).alias("t"), container_unit(F.col(title), rules).alias("unit"), compact(F.col(title), rules).rlike(chap).alias("_c"))
+    w = Window.partitionBy("book")
+    t = t.repartition("book").withColumns({"n_chapters": F.count(F.when(F.col("unit").isNull(), 1)).over(w), "has_chapter": F.max("_c").over(w), "n": F.count("unit").over(Window.partitionBy("book", "unit"))})
     noise = F.col("unit").isin(*rules.noise_when_chapter) & F.col("has_chapter")
-    out = per_unit.join(per_book, book)
-    return out.withColumn("accepted", ~noise & (F.col("n") * rules.ratio <= F.col("n_chapters")))
+    return t.withColumn("accepted", F.coalesce(~noise & (F.col("n") * rules.ratio <= F.col("n_chapters")), F.lit(False)))
+
+
+def analyze(index: DataFrame, book: str = "book", title: str = "title", rules: Rules = DEFAULT) -> DataFrame:
+    """(book, unit, n, n_chapters, has_chapter, accepted) for every container unit of a book."""
+    got = _judged(index, book, title, title, rules).where("unit is not null")
+    return got.groupBy(F.col("book").alias(book), "unit").agg(*[F.first(c).alias(c) for c in ("n", "n_chapters", "has_chapter", "accepted")])
 
 
 def groups(index: DataFrame, book: str = "book", order: str = "idx", title: str = "title", rules: Rules = DEFAULT) -> DataFrame:
@@ -76,13 +81,11 @@ def groups(index: DataFrame, book: str = "book", order: str = "idx", title: str
     The first member of a volume is its own marker line; entries before the first volume form a group of
     their own, number 0.
     """
-    good = analyze(index, book, title, rules).where("accepted").select(book, F.col("unit").alias("_u"))
-    t = index.select(book, F.col(order).alias("idx"), F.col(title).alias("t"), container_unit(F.col(title), rules).alias("unit"))
-    some = good.select(book).distinct()
-    t = t.join(some, book, "left_semi").join(good, [t[book] == good[book], F.col("unit") == F.col("_u")], "left").select(t[book], "idx", "t", F.col("_u").isNotNull().alias("vol"))
-    w = Window.partitionBy(book).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("group_no", F.sum(F.col("vol").cast("int")).over(w))
-    return t.groupBy(book, "group_no").agg(F.coalesce(F.max(F.when(F.col("vol"), F.col("t"))), F.lit(rules.leading)).alias("volume_title"), F.array_sort(F.collect_list("idx")).alias("members"))
+    w = Window.partitionBy("book")
+    t = _judged(index, book, order, title, rules).withColumn("_some", F.max("accepted").over(w)).where("_some")
+    t = t.withColumn("group_no", F.sum(F.col("accepted").cast("int")).over(w.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
+    got = t.groupBy("book", "group_no").agg(F.coalesce(F.max(F.when(F.col("accepted"), F.col("t"))), F.lit(rules.leading)).alias("volume_title"), F.array_sort(F.collect_list("idx")).alias("members"))
+    return got.withColumnRenamed("book", book)
 
 
 def fixed_priority_unit(index: DataFrame, book: str = "book", title: str = "title", priority: str = "卷部篇集章", rules: Rules = DEFAULT) -> DataFrame:

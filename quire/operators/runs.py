@@ -80,6 +80,13 @@ def wins(rows: DataFrame, key: str, version: str, value: str, base: str, others:
     return p.agg(F.array(*arms).alias("a")).select(F.inline("a"))
 
 
+def first_of(rows: DataFrame, key: str, order: str, value: str, n: int, also: Sequence[Column] = ()) -> DataFrame:
+    """(key, texts): the first n values of each key in order; no more than n of a key are held at once."""
+    got = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    top = rows.select(key, order, value, got.alias("_n")).where(F.col("_n") <= n).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", value))), lambda s: s[value]).alias("texts"))
+    return top.join(rows.groupBy(key).agg(*also), key) if also else top
+
+
 def resume(plan: DataFrame, done: DataFrame, key: str = "run_id") -> DataFrame:
     """What of the plan has no result."""
     return plan.join(done.select(key), key, "left_anti")
@@ -107,9 +114,9 @@ def plan_runs(samples: DataFrame, versions: Sequence[str], scene: str, repeats:
 
 
 def seeded_order(plan: DataFrame, seed: int, key: str = "run_id") -> DataFrame:
-    """The same shuffled order for the same seed, warm-ups first; seq from 1."""
+    """The same shuffled order for the same seed, warm-ups first; seq from 0.  A plan is a parameter grid, not data."""
     w = Window.orderBy(~F.col("warmup"), F.md5(F.concat_ws(":", F.lit(str(seed)), key)))
-    return plan.withColumn("seq", F.row_number().over(w))
+    return plan.withColumn("seq", F.row_number().over(w) - 1)
 
 
 def sequence_diff(a: DataFrame, b: DataFrame, key: str, pos: str, value: str) -> DataFrame:
@@ -135,8 +142,29 @@ def chain_summary(files: DataFrame, encoding: str, size: str) -> DataFrame:
     return files.groupBy(encoding).agg(F.count(F.lit(1)).alias("n_files"), F.round(F.sum(size) / 1048576, 2).alias("total_mb"))
 
 
-def unique_paths(files: DataFrame, folder: Column, stem: Column, ext: str, order: Sequence[Column]) -> DataFrame:
-    """out_path: equal stems of a folder get _1, _2, ... in order."""
-    n = F.row_number().over(Window.partitionBy(folder, stem).orderBy(*order)) - 1
-    name = F.concat(folder, F.lit("/"), stem, F.when(n > 0, F.concat(F.lit("_"), n.cast("string"))).otherwise(F.lit("")), F.lit(ext))
-    return files.withColumn("out_path", name)
+def unique_paths(files: DataFrame, folder: Column, stem: Column, ext: str, order: Sequence[Column], taken: DataFrame | None = None) -> DataFrame:
+    """out_path: equal stems of a folder get _1, _2, ... in order, past the names that other stems or ``taken``
+    (column path) already have.
+
+    A stem's files are numbered by window; the numbers it must leave out are those n for which the folder has, or
+    wants, the stem with _n.  So a.txt, x/a.txt and a_1.txt give a, a_2, a_1.  Chains (a stem that ends in _n is
+    itself numbered) give more underscores, which no other stem of the folder has.
+    """
+    f = files.withColumns({"_f": folder, "_s": stem})
+    kinds = files.columns
+    wanted = f.select("_f", "_s").distinct()
+    if taken is not None:
+        path = F.regexp_extract("path", r"^(.*)/([^/]*)$", 1), F.regexp_extract("path", r"^(.*)/([^/]*)$", 2)
+        held = taken.select(path[0].alias("_f"), path[1].alias("_x")).where(F.col("_x").endswith(ext))
+        wanted = wanted.unionByName(held.select("_f", F.expr(f"substring(_x, 1, length(_x) - {len(ext)})").alias("_s"))).distinct()
+        own = held.select("_f", F.expr(f"substring(_x, 1, length(_x) - {len(ext)})").alias("_s"), F.lit(1).alias("_own")).distinct()
+    # numbers that a stem must leave out: stem_n is a stem too
+    parts = wanted.select("_f", F.regexp_extract("_s", r"(?s)^(.*)_([1-9]\d{0,8})$", 1).alias("_s"), F.regexp_extract("_s", r"(?s)^(.*)_([1-9]\d{0,8})$", 2).alias("_n"))
+    out = parts.where("_n <> ''").groupBy("_f", "_s").agg(F.array_sort(F.collect_set(F.col("_n").cast("int"))).alias("_out"))
+    k = f.withColumn("_k", F.row_number().over(Window.partitionBy("_f", "_s").orderBy(*order)) - 1).join(out, ["_f", "_s"], "left")
+    if taken is not None:
+        k = k.join(own, ["_f", "_s"], "left").withColumn("_k", F.col("_k") + F.coalesce("_own", F.lit(0)))
+    # the k-th number that is not left out: each left-out number up to it moves it on
+    moved = F.aggregate(F.coalesce("_out", F.array().cast("array<int>")), F.col("_k"), lambda at, n: F.when((at > 0) & (n <= at), at + 1).otherwise(at))
+    name = F.concat("_f", F.lit("/"), "_s", F.when(F.col("_k") > 0, F.concat(F.lit("_"), moved.cast("string"))).otherwise(F.lit("")), F.lit(ext))
+    return k.withColumn("out_path", name).select(*kinds, "out_path")

@@ -2,6 +2,9 @@
 
 A title line opens a section and is not part of its body; a section is a chapter if it has a body line; a
 book without any gives one chapter, the last title with an empty body.  Order is always an explicit column.
+
+A book that is one row (``segment``, ``toc``) is split, flagged and folded within the row: nothing is shuffled.
+Books that come as lines (files) are numbered by window, or in two phases where one book is beyond a task.
 """
 
 from __future__ import annotations
@@ -12,18 +15,28 @@ from quire.functions.text import FILE_NEWLINES, UNICODE_NEWLINES, strip
 from quire.operators.titles import DEFAULT_TITLE, MAX_TITLE, is_title
 
 
-def lines(docs: DataFrame, book: str = "doc_id", text: str = "text", newlines: str = "unix") -> DataFrame:
-    """(book, line_no from 0, line, ended).  newlines: unix, file or unicode; a final line end opens no line."""
+def line_arrays(docs: DataFrame, book: str = "doc_id", text: str = "text", newlines: str = "unix") -> DataFrame:
+    """(book, _p, _all): the lines of each text, and whether the last one has a line end; without null and empty texts."""
     cut = {"unix": "\n", "file": FILE_NEWLINES, "unicode": UNICODE_NEWLINES}[newlines]
-    parts = F.split(F.col(text), cut, -1)
-    n = F.size("_p")
+    rows = docs.where(F.col(text) != "").select(F.col(book).alias("book"), F.split(F.col(text), cut, -1).alias("_p"))
     last_empty = F.element_at("_p", -1) == ""
-    rows = docs.where(F.col(text) != "").select(F.col(book).alias("book"), parts.alias("_p"))
-    rows = rows.select("book", last_empty.alias("_all"), F.when(last_empty, F.slice("_p", F.lit(1), n - 1)).otherwise(F.col("_p")).alias("_p"))
+    return rows.select("book", F.when(last_empty, F.slice("_p", F.lit(1), F.size("_p") - 1)).otherwise(F.col("_p")).alias("_p"), last_empty.alias("_all"))
+
+
+def lines(docs: DataFrame, book: str = "doc_id", text: str = "text", newlines: str = "unix") -> DataFrame:
+    """(book, line_no from 0, line, ended).  newlines: unix, file or unicode; a final line end opens no line."""
+    rows = line_arrays(docs, book, text, newlines)
     rows = rows.select("book", "_all", F.size("_p").alias("_n"), F.posexplode("_p").alias("line_no", "line"))
     return rows.select(F.col("book").alias(book), F.col("line_no").cast("long").alias("line_no"), "line", (F.col("_all") | (F.col("line_no") < F.col("_n") - 1)).alias("ended"))
 
 
+def _with_titles(docs: DataFrame, book: str, text: str, pattern: str | None, newlines: str, max_title: int, search: bool) -> DataFrame:
+    """line_arrays and _t, the places (from 0) of title lines."""
+    rows = line_arrays(docs, book, text, newlines)
+    flags = F.transform("_p", lambda x, i: F.when(is_title(x, F.col("_all") | (i < F.size("_p") - 1), pattern, max_title, search), i))
+    return rows.withColumn("_t", F.filter(flags, lambda i: i.isNotNull()))
+
+
 def flag_titles(rows: DataFrame, pattern: str | None = None, max_title: int = MAX_TITLE, search: bool = False) -> DataFrame:
     return rows.withColumn("is_title", is_title(F.col("line"), F.col("ended"), pattern, max_title, search))
 
@@ -55,11 +68,51 @@ def chapters_of(found: DataFrame, book: str = "doc_id", default_title: str = DEF
 
 def segment(docs: DataFrame, book: str = "doc_id", text: str = "text", pattern: str | None = None, newlines: str = "unix", max_title: int = MAX_TITLE, search: bool = False) -> DataFrame:
     """(book, chap_no, title, body, n_lines, n_chars); an empty or null text gives one empty chapter."""
-    got = chapters_of(sections(number_sections(flag_titles(lines(docs, book, text, newlines), pattern, max_title, search), book), book), book)
+    rows = _with_titles(docs, book, text, pattern, newlines, max_title, search)
+    starts = F.concat(F.array(F.lit(-1)), F.col("_t"))
+    n = F.size("_p")
+
+    def section(at, k):
+        """From the title at ``at`` (-1: the lines before any) up to the next."""
+        end = F.coalesce(F.get(F.col("_t"), k), n)
+        return F.struct(at.alias("at"), (end - at - 1).alias("n"))
+
+    rows = rows.withColumn("_s", F.transform(starts, section))
+    # sections with a body; if there are none, the last one
+    full = F.filter("_s", lambda x: x["n"] > 0)
+    rows = rows.withColumn("_k", F.when(F.exists("_s", lambda x: x["n"] > 0), full).otherwise(F.slice("_s", -1, 1)))
+
+    def chapter(x, i):
+        title = F.when(x["at"] < 0, F.lit(DEFAULT_TITLE)).otherwise(strip(F.get(F.col("_p"), x["at"])))
+        body = F.array_join(F.slice("_p", x["at"] + 2, x["n"]), "\n")
+        return F.struct((i + 1).alias("chap_no"), title.alias("title"), body.alias("body"), x["n"].cast("long").alias("n_lines"))
+
+    got = rows.select(F.col("book").alias(book), F.inline(F.transform("_k", chapter))).withColumn("n_chars", F.length("body").cast("long"))
     bare = docs.where(F.coalesce(F.col(text), F.lit("")) == "").select(F.col(book), F.lit(1).alias("chap_no"), F.lit(DEFAULT_TITLE).alias("title"), F.lit("").alias("body"), F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_chars"))
     return got.unionByName(bare)
 
 
+def toc(docs: DataFrame, book: str = "doc_id", text: str = "text", pattern: str | None = None, max_title: int = MAX_TITLE, search: bool = False) -> DataFrame:
+    """toc_index of texts that are rows (each line end is one byte)."""
+    rows = _with_titles(docs, book, text, pattern, "unix", max_title, search)
+
+    def step(acc, i):
+        """Bytes from the title before (or the start) to this one."""
+        size = F.octet_length(F.array_join(F.slice("_p", acc["line"] + 1, i - acc["line"]), "\n"))
+        at = acc["at"] + size + F.when(i > acc["line"], 1).otherwise(0)
+        return F.struct(i.alias("line"), at.cast("long").alias("at"), F.concat(acc["out"], F.array(at.cast("long"))).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("line"), F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    total = F.octet_length(F.array_join("_p", "\n")) + F.col("_all").cast("int")
+    rows = rows.select("book", "_p", "_t", F.aggregate("_t", zero, step, lambda acc: acc["out"]).alias("_o"), total.cast("long").alias("_e"))
+
+    def entry(o, k):
+        title = strip(F.get(F.col("_p"), F.get(F.col("_t"), k)))
+        return F.struct((k + 1).alias("chap_no"), title.alias("title"), o.alias("start"), F.coalesce(F.get(F.col("_o"), k + 1), F.col("_e")).alias("end"))
+
+    return rows.select(F.col("book").alias(book), F.inline(F.transform("_o", entry)))
+
+
 def split_ids(rows: DataFrame, book: str, size: int) -> DataFrame:
     """part: which piece of ``size`` lines a line lies in."""
     return rows.withColumn("part", F.floor(F.col("line_no") / size))

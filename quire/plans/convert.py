@@ -24,15 +24,22 @@ def chapters_of_files(spark: SparkSession, roots: Sequence[str], pattern: str |
     return books, found.unionByName(empty)
 
 
-def convert(spark: SparkSession, roots: Sequence[str], out: str, title: str | None = None, author: str = "", pattern: str | None = None, max_chapters: int = 0) -> DataFrame:
-    """Results: book_id, path, out_path, chapter_count, error, epub; ``max_chapters`` > 0 splits books into volumes."""
+def convert(spark: SparkSession, roots: Sequence[str], out: str, title: str | None = None, author: str = "", pattern: str | None = None, max_chapters: int = 0, engine: str = "default", cover: bytes | None = None) -> DataFrame:
+    """Results: book_id, path, out_path, chapter_count, error, epub; ``max_chapters`` > 0 splits books into volumes.
+
+    ``engine`` infers the volumes that nest the table of contents of an unsplit book ("none": no nesting).  ``cover``
+    is the image of every book and of each of its volumes.
+    """
     books, chapters = chapters_of_files(spark, roots, pattern)
     volume = segment.volume_of(F.col("chap_no"), max_chapters)
     parts = chapters.withColumn("volume", volume).withColumn("key", F.concat_ws("/", F.col("book_id").cast("string"), F.col("volume").cast("string")))
     named = parts.join(books.select("book_id", F.col("path")), "book_id")
     name = F.lit(title) if title else stem(F.col("path"))
     head = F.when(F.lit(max_chapters > 0), F.concat(name, F.lit(" 第"), F.col("volume").cast("string"), F.lit("卷"))).otherwise(name)
-    done = epub.package(named, "key", head, F.lit(author))
+    nested = None
+    if max_chapters <= 0 and engine != "none":
+        nested = volumes_of(chapters, "book_id", engine).withColumn("key", F.concat(F.col("book_id").cast("string"), F.lit("/1")))
+    done = epub.package(named, "key", head, F.lit(author), cover=F.lit(cover).cast("binary"), groups=nested)
     done = done.select(F.split("key", "/")[0].cast("long").alias("book_id"), F.split("key", "/")[1].cast("int").alias("volume"), "epub", "chapter_count", "error")
     got = done.join(books.select("book_id", "path"), "book_id")
     tail = F.when(F.lit(max_chapters > 0), F.concat(F.lit("_卷"), F.col("volume").cast("string"))).otherwise(F.lit(""))

@@ -127,7 +127,7 @@ x AS (SELECT *, max(off + strlen(line) + ended::INT) OVER (PARTITION BY doc_id)
 SELECT doc_id, row_number() OVER w::INT AS chap_no, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS title, off AS "start", coalesce(lead(off) OVER w, total)::BIGINT AS "end" FROM x WHERE is_title WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)"""
 )
 def chapter_toc(spark, d):
-    return sg.toc_index(sg.flag_titles(sg.lines(_t(spark, d, "documents"))))
+    return sg.toc(_t(spark, d, "documents"))
 
 
 @query(f"WITH {LINES} SELECT doc_id, line_no, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM lines")
@@ -140,11 +140,9 @@ def unicode_lines(spark, d):
     return sg.lines(_t(spark, d, "documents"), newlines="unicode").drop("ended")
 
 
-@query("SELECT doc_id, n::INT AS page, CASE WHEN n = 0 THEN substr(text, 1, 800) ELSE substr(text, 801 + (n - 1) * 2000, 2000) END AS part FROM documents, (SELECT unnest(range(3)) AS n) WHERE text IS NOT NULL")
+@query("SELECT doc_id, n::INT AS page, CASE WHEN n = 0 THEN substr(text, 1, 800) ELSE substr(text, 801 + (n - 1) * 2000, 2000) END AS part FROM (SELECT doc_id, text, unnest(range(1 + greatest(0, length(text) - 800 + 1999) // 2000)) AS n FROM documents WHERE text IS NOT NULL)")
 def preview_pages(spark, d):
-    docs = _t(spark, d, "documents").where("text is not null")
-    pages = F.array(*[F.struct(F.lit(i).alias("page"), tx.page(F.col("text"), i).alias("part")) for i in range(3)])
-    return docs.select("doc_id", F.inline(pages))
+    return tx.pages(_t(spark, d, "documents").where("text is not null"), "doc_id", "text")
 
 
 @query(f"WITH {CHAPTERS} SELECT doc_id, chap_no, strpos(text, title)::INT AS pos, (length(substr(text, 1, strpos(text, title)::INT - 1)) - length(replace(substr(text, 1, strpos(text, title)::INT - 1), chr(10), '')) + 1)::INT AS line_no FROM chapters JOIN documents USING (doc_id) WHERE title <> '前言' AND strpos(text, title) > 0")
@@ -224,10 +222,10 @@ def paragraph_render(spark, d):
     return _t(spark, d, "documents").where("text is not null").select("doc_id", tx.paragraphs(F.col("text")).alias("html"))
 
 
-@query(None)
+@query(f"WITH {CHAPTERS} SELECT doc_id, count(*)::INT AS chapter_count, '' AS error, true AS valid FROM chapters GROUP BY doc_id")
 def epub_package(spark, d):
     done = epub.package(sg.segment(_t(spark, d, "documents")), "doc_id")
-    return done.select("doc_id", "chapter_count", "error", F.octet_length("epub").alias("n_bytes"), epub.is_valid(F.col("epub")).alias("valid"))
+    return done.select("doc_id", "chapter_count", "error", epub.is_valid(F.col("epub")).alias("valid"))
 
 
 # ---------------------------------------------------------------- hierarchy
@@ -283,17 +281,41 @@ def punct_density(spark, d):
     return docs.select("doc_id", F.round(enc.punct_density(F.col("text")), 8).alias("density"), F.round(enc.punct_density(F.col("text"), ".,|"), 8).alias("latin"))
 
 
-@query("SELECT doc_id, 'utf-8' AS encoding, 0.5::DOUBLE AS confidence, 'utf-8' AS strict FROM documents WHERE text <> ''")
-def detect_encoding(spark, d):
+#: name, bytes, what is found: encoding, confidence, first encoding that decodes all, valid UTF-8, text without malformed bytes.
+#: The samples are made of two short Chinese sentences, whatever the codec.
+_SAYS = "他说，今天很好，明天也好。你来吗？好，就这样！"
+_BYTES = [
+    ("utf8", _SAYS.encode(), "utf-8", 1.0, "utf-8", True, _SAYS),
+    ("bom", b"\xef\xbb\xbf" + _SAYS.encode(), "utf-8-sig", 1.0, "utf-8", True, _SAYS),
+    ("gb18030", _SAYS.encode("gb18030"), "gb18030", 0.9, "gb18030", False, _SAYS),
+    ("big5", "他說，今天很好，明天也好。你來嗎？好，就這樣！".encode("big5"), "big5", 0.9, "gb18030", False, "他說，今天很好，明天也好。你來嗎？好，就這樣！"),
+    ("gb18030 with a bad tail", _SAYS.encode("gb18030") + b"\xff\xff", "gb18030", 0.9, "unknown", False, _SAYS),
+    ("ascii", b"plain text, nothing else", "utf-8", 0.5, "utf-8", True, "plain text, nothing else"),
+    ("utf8 cut off", _SAYS.encode()[:-1], "utf-8", 1.0, "gb18030", True, _SAYS[:-1]),
+    ("broken utf8", b"abc\xff def", "gb18030", 0.5, "unknown", False, "abc def"),
+    ("empty", b"", "gb18030", 0.5, "utf-8", True, ""),
+    ("late", b"x" * 9000 + _SAYS.encode("gb18030"), "gb18030", 0.9, "gb18030", False, "x" * 9000 + _SAYS),
+]
+_FOUND = ", ".join(f"({-i}, '{e}', {c}::DOUBLE, '{strict}')" for i, (_, _, e, c, strict, _, _) in enumerate(_BYTES, 1))
+_DECODED = ", ".join(f"({-i}, {clean}, md5(replace('{text.replace('x' * 9000, '@')}', '@', repeat('x', 9000))))" for i, (*_, clean, text) in enumerate(_BYTES, 1))
+
+
+def _contents(spark, d):
+    """Texts of documents as bytes, and the samples with ids below 0."""
     docs = _t(spark, d, "documents").where("text <> ''").select("doc_id", F.col("text").cast("binary").alias("content"))
-    return docs.select("doc_id", enc.detect(F.col("content")).alias("e"), enc.strict_ladder(F.col("content")).alias("strict")).select("doc_id", "e.encoding", "e.confidence", "strict")
+    return docs.unionByName(spark.createDataFrame([(-i, bytearray(b[1])) for i, b in enumerate(_BYTES, 1)], "doc_id bigint, content binary"))
+
+
+@query(f"SELECT doc_id, 'utf-8' AS encoding, 0.5::DOUBLE AS confidence, 'utf-8' AS strict FROM documents WHERE text <> '' UNION ALL SELECT * FROM (VALUES {_FOUND}) s")
+def detect_encoding(spark, d):
+    c = _contents(spark, d)
+    return c.select("doc_id", enc.detect(F.col("content")).alias("e"), enc.strict_ladder(F.col("content")).alias("strict")).select("doc_id", "e.encoding", "e.confidence", "strict")
 
 
-@query("SELECT doc_id, true AS clean, strlen(text)::INT AS n_bytes FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, true AS clean, md5(text) AS sum FROM documents WHERE text <> '' UNION ALL SELECT * FROM (VALUES {_DECODED}) s")
 def decode_round_trip(spark, d):
-    docs = _t(spark, d, "documents").where("text is not null")
-    c = F.col("text").cast("binary")
-    return docs.select("doc_id", enc.utf8_clean(c).alias("clean"), F.octet_length(enc.decode(c, F.lit("utf-8"))).alias("n_bytes"))
+    c = _contents(spark, d)
+    return c.select("doc_id", enc.utf8_clean(F.col("content")).alias("clean"), F.md5(enc.decode(F.col("content"), enc.detect(F.col("content"))["encoding"])).alias("sum"))
 
 
 # ---------------------------------------------------------------- grouping of files
@@ -398,7 +420,7 @@ def plan_cross_join(spark, d):
     return runs.plan_runs(s, ["v1", "v2", "v3"], "S1", 3)
 
 
-@query("WITH s AS (SELECT s_suppkey::VARCHAR AS run_id, s_nationkey = 3 AS warmup FROM supplier) SELECT run_id, warmup, row_number() OVER (ORDER BY NOT warmup, md5('20260807:' || run_id))::INT AS seq FROM s")
+@query("WITH s AS (SELECT s_suppkey::VARCHAR AS run_id, s_nationkey = 3 AS warmup FROM supplier) SELECT run_id, warmup, row_number() OVER (ORDER BY NOT warmup, md5('20260807:' || run_id))::INT - 1 AS seq FROM s")
 def seeded_shuffle(spark, d):
     s = _t(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("run_id"), (F.col("s_nationkey") == 3).alias("warmup"))
     return runs.seeded_order(s, 20260807)
@@ -443,10 +465,10 @@ def completed_files(spark, d):
     return runs.completed(li, "l_orderkey", "total")
 
 
-@query("SELECT conv_id, list_transform(list(text ORDER BY turn)[1:5], lambda x: substr(x, 1, 20))[1] AS first_text, count(*) AS turns, count(DISTINCT role) AS roles FROM conversations GROUP BY 1")
+@query("SELECT conv_id, array_to_string(list(text ORDER BY turn)[1:5], chr(10)) AS first_texts, count(*) AS turns, count(DISTINCT role) AS roles FROM conversations GROUP BY 1")
 def first_titles(spark, d):
     c = _t(spark, d, "conversations")
-    return c.groupBy("conv_id").agg(F.substring(F.min_by("text", "turn"), 1, 20).alias("first_text"), F.count(F.lit(1)).alias("turns"), F.countDistinct("role").alias("roles"))
+    return runs.first_of(c, "conv_id", "turn", "text", 5, [F.count(F.lit(1)).alias("turns"), F.countDistinct("role").alias("roles")]).select("conv_id", F.array_join("texts", "\n").alias("first_texts"), "turns", "roles")
 
 
 @query("SELECT user_id, max(value) AS peak, count(DISTINCT event_type) AS kinds, count(*) FILTER (WHERE event_type = 'purchase') AS ok FROM events GROUP BY 1")

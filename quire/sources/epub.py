@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions.text import paragraphs
@@ -68,21 +69,38 @@ def build(chapters: list[tuple[str, str]], title: str, author: str = "", lang: s
     return out.getvalue()
 
 
-def package(chapters: DataFrame, book: str = "book_id", title: Column | None = None, author: Column | None = None, lang: str = "zh-CN", cover: Column | None = None) -> DataFrame:
-    """(book, epub, chapter_count, error): a book that fails gives its error, the others go on."""
-    rows = chapters.select(F.col(book).alias("book"), "chap_no", F.col("title").alias("head"), paragraphs(F.col("body")).alias("body"), (title if title is not None else F.col(book).cast("string")).alias("title"), (author if author is not None else F.lit("")).alias("author"), (cover if cover is not None else F.lit(None).cast("binary")).alias("cover"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chap_no")
-        first = pdf.iloc[0]
-        try:
-            data, error = build(list(zip(pdf["head"], pdf["body"])), first["title"], first["author"] or "", lang, bytes(first["cover"]) if first["cover"] is not None else None), ""
-        except Exception as e:
-            data, error = None, f"{type(e).__name__}: {e}"
-        return pd.DataFrame({"book": [first["book"]], "epub": [data], "chapter_count": [len(pdf)], "error": [error]})
+def package(chapters: DataFrame, book: str = "book_id", title: Column | None = None, author: Column | None = None, lang: str = "zh-CN", cover: Column | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """(book, epub, chapter_count, error): a book that fails gives its error, the others go on.
+
+    groups: (book, group_no, volume_title, members), members by chap_no; books that have rows get a nested table of
+    contents.  One row per book crosses to Python, in Arrow batches.
+    """
+    head = {"title": title if title is not None else F.col(book).cast("string"), "author": author if author is not None else F.lit(""), "cover": cover if cover is not None else F.lit(None).cast("binary")}
+    part = F.struct(F.col("chap_no").cast("long").alias("no"), F.col("title").alias("head"), paragraphs(F.col("body")).alias("body"))
+    rows = chapters.select(F.col(book).alias("book"), part.alias("c"), *[c.alias(f"b_{k}") for k, c in head.items()])
+    books = rows.groupBy("book").agg(F.collect_list("c").alias("c"), *[F.first(f"b_{k}").alias(k) for k in head])
+    nested = "array<struct<no:bigint,title:string,members:array<bigint>>>"
+    if groups is not None:
+        volume = F.struct(F.col("group_no").cast("long").alias("no"), F.col("volume_title").alias("title"), F.col("members").cast("array<bigint>").alias("members"))
+        books = books.join(groups.groupBy(F.col(book).alias("book")).agg(F.array_sort(F.collect_list(volume)).alias("g")), "book", "left")
+    else:
+        books = books.withColumn("g", F.lit(None).cast(nested))
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                name, found, t, a, image, volumes = (b.column(j)[i].as_py() for j in range(6))
+                found.sort(key=lambda c: c["no"])
+                try:
+                    place = {c["no"]: k for k, c in enumerate(found)}
+                    toc = [(v["title"], [place[m] for m in v["members"] if m in place]) for v in volumes or ()]
+                    data, error = build([(c["head"], c["body"]) for c in found], t, a or "", lang, image, toc or None), ""
+                except Exception as e:
+                    data, error = None, f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([data], pa.binary()), pa.array([len(found)], pa.int32()), pa.array([error])], ["book", "epub", "chapter_count", "error"])
 
     kind = rows.schema["book"].dataType.simpleString()
-    return rows.groupBy("book").applyInPandas(one, f"book {kind}, epub binary, chapter_count int, error string").withColumnRenamed("book", book)
+    return books.select("book", "c", "title", "author", "cover", "g").mapInArrow(run, f"book {kind}, epub binary, chapter_count int, error string").withColumnRenamed("book", book)
 
 
 def is_valid(content: Column) -> Column:
