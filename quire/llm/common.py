@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -41,28 +42,47 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Folders of this process in the shared one.
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset (tests, a laptop)
-    a temporary folder takes its place, and is removed when the driver's Python ends.
+    It is the session's ``spark.checkpoint.dir``.  Only where that is unset and all runs in one local process
+    (tests, a laptop) a temporary folder takes its place, and is removed when the driver's Python ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="quire-shared-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new name in the shared folder."""
+    _WRITTEN.append(f"{shared_dir(spark)}/quire-{label}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
 def write_shared(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write a table once in the shared folder and read it back: later steps survive lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quire-{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, label)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Remove what this process wrote in the shared folder.  Results that were not written by then are lost."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, for small tables of iterative steps."""
     spark = df.sparkSession

@@ -16,13 +16,11 @@ Defined results are those of ``packing.pack``.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quire.llm.common import batches, columns_of, shared_dir, write_shared
+from quire.llm.common import batches, columns_of, shared_path, write_shared
 from quire.llm.packing import SHARD_TOKENS, WINDOW, ShardIndex, _encoder, _idf, document_frequencies, encode, fill
 
 #: Windows that a list of neighbours could fill; most seeds of a round, and the part of the windows left that it may fill.
@@ -217,7 +215,7 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WIND
     mean = float(lens.mean()) if len(lens) else 1.0
     sent = spark.sparkContext.broadcast(idf)
     schema = "row bigint, start bigint, length bigint, sequence_id bigint, offset bigint"
-    path = f"{shared_dir(spark)}/quire-packing-pieces-{uuid.uuid4().hex}"
+    path = shared_path(spark, "packing-pieces")
     spark.createDataFrame([], schema).write.parquet(path)
 
     def write(pieces):

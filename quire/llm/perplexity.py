@@ -231,16 +231,19 @@ def score(df: DataFrame, model: DataFrame, text_col: str, keep: dict[str, Column
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, pa.int64()) for c in counted], pa.array(size.astype(np.int64)), pa.array(ppl, pa.float64())], [*names, *_STATS, "n_bytes", "log_ppl"])
 
     def explode(rows):
-        for b in batches(rows):
-            texts = columns_of(b, "t")[0]
-            for i, t in enumerate(texts):
-                head = [*b.slice(i, 1).columns[:-1], *[pa.array([x], pa.int64()) for x in text_rules(t)]]
-                key, n = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                for block in _blocks([t]):
-                    k, m = np.unique(_keys([p for _, p in block])[0], return_counts=True)
-                    key, n = np.concatenate([key, k]), np.concatenate([n, m])
-                grams = pa.array([[{"key": int(k), "n": int(c)} for k, c in zip(key.view(np.int64), n)]], pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([*head, grams], [*names, *_STATS, "grams"])
+        for whole in batches(rows):
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                texts = columns_of(b, "t")[0]
+                counted = list(zip(*map(text_rules, texts)))
+                keys, ns, ends = [], [], [0]
+                for t in texts:
+                    found = [np.unique(_keys([p for _, p in block])[0], return_counts=True) for block in _blocks([t])]
+                    keys += [k for k, _ in found]
+                    ns += [n for _, n in found]
+                    ends.append(ends[-1] + sum(len(k) for k, _ in found))
+                grams = pa.StructArray.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ns).astype(np.int64))], ["key", "n"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, pa.int64()) for c in counted], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), grams)], [*names, *_STATS, "grams"])
 
     if small:
         out = part.mapInArrow(run, f"{fields}{stats}n_bytes bigint, log_ppl double")
@@ -271,13 +274,15 @@ def bands(scored: DataFrame) -> DataFrame:
     return h.groupBy("lang").agg(q1.alias("q1"), (q3 + STEP).alias("q3")).withColumnRenamed("lang", "band_lang")
 
 
-def judge(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", spread: tuple[float, float] = (3.0, 2.0), short: tuple[float, float] = (6.0, 3.0), least: float = 0.02, max_broadcast: int = 4_000_000) -> DataFrame:
-    """One row per input row: id, lang, the counted rules, base_failed, perplexity, its band, kept."""
+def judge(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", spread: tuple[float, float] = (3.0, 2.0), short: tuple[float, float] = (6.0, 3.0), least: float = 0.02, max_broadcast: int = 4_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: id, lang, the counted rules, base_failed, perplexity, its band, kept; with ``keep``: these columns and kept."""
     model = write_shared(kneser_ney(count_ngrams(df, text_col)), "kneser-ney")
-    scored = score(df, model, text_col, {"id": F.col(id_col), "lang": F.col(lang_col).cast("string")}, max_broadcast)
+    scored = score(df, model, text_col, {"id": F.col(id_col), "lang": F.col(lang_col).cast("string")} | {f"own{i}": F.col(c) for i, c in enumerate(keep)}, max_broadcast)
     scored = write_shared(scored.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))), "quality")
     out = scored.join(bands(scored), F.col("lang").eqNullSafe(F.col("band_lang")), "left")
     wide, scatter = F.greatest(F.col("q3") - F.col("q1"), F.lit(least)), F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1)))
     out = out.withColumns({"lower": F.col("q1") - spread[0] * wide - short[0] / scatter, "upper": F.col("q3") + spread[1] * wide + short[1] / scatter})
     inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(False))
+    if keep:
+        return out.select(*[F.col(f"own{i}").alias(c) for i, c in enumerate(keep)], (~F.col("base_failed") & inside).alias("kept"))
     return out.select(F.col("id").alias(id_col), *_STATS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "lang", F.exp("log_ppl").alias("perplexity"), F.exp("lower").alias("lower"), F.exp("upper").alias("upper"))

@@ -23,6 +23,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from quire.llm.common import batches, columns_of, utf8, write_shared
@@ -54,16 +55,19 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 3) -> DataFrame:
-    """(id, fp): the fingerprint as a signed long."""
-    part = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp, row, k0, ...): the fingerprint as a signed long, a number of the row, the columns of ``keep``."""
+    part = df.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("t"))
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in part.schema.fields[1:-1])
 
     def run(rows):
+        at = TaskContext.get().partitionId() << 40
         for b in batches(rows):
             fps = np.array([fingerprint(t, width) for t in columns_of(b, "t")[0]], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array(range(at, at + len(fps)), pa.int64()), *b.columns[1:-1]], ["id", "fp", "row", *b.schema.names[1:-1]])
+            at += len(fps)
 
-    return part.mapInArrow(run, "id bigint, fp bigint")
+    return part.mapInArrow(run, f"id bigint, fp bigint, row bigint{more}")
 
 
 def masks(radius: int, free: int = (1 << 64) - 1) -> list[int]:
@@ -151,14 +155,27 @@ def links(fps: DataFrame, radius: int = 3, limit: int = LIMIT) -> DataFrame:
     return functools.reduce(DataFrame.union, found).distinct()
 
 
+def _labels(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, first, component): each distinct fingerprint, its least id, and the least fingerprint that is reachable."""
+    node = fps.groupBy("fp").agg(F.min("id").alias("first"))
+    joined = components(links(node.select("fp"), radius))
+    return node.join(joined, node.fp == joined.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 3, radius: int = 3) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (the least id that is reachable)."""
     fps = write_shared(fingerprints(df, text_col, id_col, width), "simhash-fps")
-    node = fps.groupBy("fp").agg(F.min("id").alias("first"))
-    joined = components(links(node.select("fp"), radius))
-    # the label of a component is its least fingerprint; the answer is its least id
-    label = node.join(joined, node.fp == joined.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    label = _labels(fps, radius)
     least = label.groupBy("component").agg(F.min("first").alias("component_id"))
     by_fp = label.join(least, "component").select("fp", "component_id")
     out = fps.join(by_fp, "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(df: DataFrame, keep: tuple[str, ...], text_col: str = "text", id_col: str = "doc_id", width: int = 3, radius: int = 3) -> DataFrame:
+    """Columns ``keep`` of one row of each group of near-duplicates: that of the least id, null ids last, of equal ids the earlier row."""
+    rows = write_shared(fingerprints(df, text_col, id_col, width, keep), "simhash-rows")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    by_fp = rows.select("fp", order.alias("o")).groupBy("fp").agg(F.min("o").alias("o"))
+    stay = by_fp.join(_labels(rows, radius), "fp").groupBy("component").agg(F.min("o").alias("o")).select(F.col("o.row").alias("row"))
+    return rows.join(stay, "row", "left_semi").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)])

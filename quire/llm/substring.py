@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.common import batches, shared_dir, utf8, write_shared
+from quire.llm.common import batches, shared_path, utf8, write_shared
 from quire.llm.word_hash import BASES, WordHash, runs, sliding_min
 
 WIDTH, GRAM = 35, 8
@@ -318,7 +317,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     of the kept words joined by one blank."""
     from quire.llm.substring_index import Index
 
-    index = Index(df.sparkSession, f"{shared_dir(df.sparkSession)}/quire-substring-index-{uuid.uuid4().hex}", width, gram)
+    index = Index(df.sparkSession, shared_path(df.sparkSession, "substring-index"), width, gram)
     chunks = write_shared(index.load(df, text_col, keep), "substring-chunks")
     for i in range(batch_count):
         index.add(chunks.where(F.pmod("chunk", F.lit(batch_count)) == i), str(i))

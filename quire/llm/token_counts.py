@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.llm.bpe import read_ranks
 from quire.llm.chunks import Chunked
-from quire.llm.common import batches, columns_of
+from quire.llm.common import batches, columns_of, write_shared
 
 BLOCK = 4096
 
@@ -52,7 +52,8 @@ def histogram(counts: DataFrame, col: str = "n_tokens") -> DataFrame:
 
 
 def limits(hist: DataFrame) -> DataFrame:
-    """Suffix sums over a histogram (n_tokens, n_docs)."""
+    """Suffix sums over a histogram (n_tokens, n_docs), which is written once: it is used twice."""
+    hist = write_shared(hist, "lengths")
     h = hist.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.floor(F.col("n_tokens") / BLOCK).alias("block"))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

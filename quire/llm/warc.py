@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm.common import batches, columns_of, shared_dir, utf8
+from quire.llm.common import batches, columns_of, shared_path, utf8
 
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -317,6 +317,6 @@ def assemble(records: DataFrame) -> DataFrame:
 def captures(df: DataFrame, payload_col: str = "html", id_col: str = "page_id", url_col: str = "url", min_bytes: int = 0, payloads: bool = True, path: str | None = None) -> DataFrame:
     """Write the archives (to ``path``, else a new folder of the shared one), read them back, assemble."""
     spark = df.sparkSession
-    path = path or f"{shared_dir(spark)}/quire-warc-{uuid.uuid4().hex}"
+    path = path or shared_path(spark, "warc")
     write_archives(df, path, payload_col, id_col, url_col, min_bytes)
     return assemble(read_archives(spark, path, payloads))

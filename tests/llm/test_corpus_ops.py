@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -339,3 +340,24 @@ def test_archive_files_are_members_of_bounded_size(spark, tmp_path):
 
     assert sum(gzip.decompress(f).count(b"WARC/1.1\r\n") for f in files) == 120
     assert warc.read_archives(spark, str(tmp_path / "w")).where("error is null").count() == 120
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(40)) for _ in range(6)]
+    rows = [(5, texts[0], "a"), (3, texts[0], "b"), (None, texts[0], "c"), (None, texts[1], "d"), (None, texts[1], "e"), (7, texts[2], "f"), (7, texts[3], "g"), (7, texts[3], "h"), (1, None, "i"), (2, "", "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string").coalesce(1)
+    got = {r.fp for r in simhash.representatives(df, ("doc_id", "fp")).collect()}
+    assert got == {"b", "d", "f", "g", "i"}
+    assert simhash.representatives(df.where("false"), ("doc_id",)).count() == 0
+
+
+def test_the_shared_folder_is_emptied(spark):
+    from quire.llm import common
+
+    common.release(spark)
+    kept = common.write_shared(spark.range(3), "test")
+    assert kept.count() == 3 and os.path.isdir(common._WRITTEN[-1])
+    path = common._WRITTEN[-1]
+    common.release(spark)
+    assert not os.path.exists(path) and not common._WRITTEN
