@@ -3,9 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as
 the docs of the next.  All but the last return the columns of documents.
 
-Defined results: a document is named by its doc_id, so rows without one go in the first stage and rows that
-repeat one are kept or dropped together until near-dedup, which keeps one; null texts fail the quality rules;
-an empty table stays empty; columns beyond those of documents are left out.
+Every stage judges rows, not ids: a document's columns go with it through each stage.
+
+Defined results: a null doc_id is an id like any other, but the last choice when one row of a group of
+near-duplicates stays; rows that repeat an id are documents of their own; null texts fail the quality rules; an
+empty table stays empty; columns beyond those of documents are left out.
 """
 
 from __future__ import annotations
@@ -26,8 +28,7 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the counted rules and lie in their language's perplexity band."""
-    kept = perplexity.judge(docs).where("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    return perplexity.judge(docs, keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +40,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group of near-duplicates."""
-    stay = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.select(*COLUMNS).join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return simhash.representatives(docs, COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
