@@ -115,6 +115,27 @@ def strict_ladder(content: Column, names: tuple[str, ...] = ("utf-8", "gb18030",
     return run(content)
 
 
+def profile(content: Column, limit: int = 200_000) -> Column:
+    """The quick choice: utf-8 if the first ``limit`` bytes are, else gb18030.  Without Python."""
+    return F.when(F.is_valid_utf8(F.substring(content, 1, limit).cast("string")), "utf-8").otherwise("gb18030")
+
+
+def is_codec(name: Column) -> Column:
+    """Whether Python has a codec of that name (those of ``MANUAL``, and many more)."""
+
+    @F.pandas_udf("boolean")
+    def run(names: pd.Series) -> pd.Series:
+        def has(n) -> bool:
+            try:
+                return bool(codecs.lookup(n))
+            except (LookupError, TypeError, ValueError):
+                return False
+
+        return names.map(has)
+
+    return F.when(name.isin(*MANUAL, "utf-8-sig"), F.lit(True)).otherwise(run(name))
+
+
 def decode(content: Column, encoding: Column) -> Column:
     """Text without the bytes that are malformed."""
 

@@ -113,6 +113,56 @@ def plan_runs(samples: DataFrame, versions: Sequence[str], scene: str, repeats:
     return p.select(F.concat_ws("-", F.lit(scene), "version", "sample_id", "repeat").alias("run_id"), F.lit(scene).alias("scene"), "version", "sample_id", "repeat")
 
 
+def bench_plan(samples: DataFrame, versions: Sequence[str], modes: dict[str, str], warm: str, detect: Sequence[str], repeats: int = 3) -> DataFrame:
+    """The whole plan over (sample_id, encoding): run_id, scene, version, sample_id, encoding, repeat, mode, warmup.
+
+    A warm-up per version on one sample (the first there is if ``warm`` is none); every version x sample x repeat of
+    parsing (S1) and of whole conversion (S2); a batch of all UTF-8 samples per mode (mode -> its version, S3); detection
+    by the last version for some samples (A1).  versions, modes and repeats are parameters, not data.
+    """
+    spark, s = samples.sparkSession, samples.select("sample_id", "encoding")
+
+    def runs_of(tag: str, scene: str, which: DataFrame, names: Sequence[str], n: int, warmup: bool = False) -> DataFrame:
+        grid = spark.createDataFrame([(v, r) for v in names for r in range(1, n + 1)], "version string, repeat int")
+        p = which.crossJoin(F.broadcast(grid))
+        run_id = F.concat_ws("-", F.lit(tag), "version", "sample_id", *([] if warmup else ["repeat"]))
+        return p.select(run_id.alias("run_id"), F.lit(scene).alias("scene"), "version", "sample_id", "encoding", "repeat", F.lit("").alias("mode"), F.lit(warmup).alias("warmup"))
+
+    first = s.agg(F.min_by(F.struct("sample_id", "encoding"), F.struct(F.col("sample_id") != warm, "sample_id")).alias("w")).where("w is not null").select("w.*")
+    ids = s.where("encoding = 'utf-8'").agg(F.expr("listagg(sample_id, '+') within group (order by sample_id)").alias("sample_id")).where("sample_id is not null")
+    grid = spark.createDataFrame([(m, v, r) for m, v in modes.items() for r in range(1, repeats + 1)], "mode string, version string, repeat int")
+    batch = ids.crossJoin(F.broadcast(grid)).select(F.concat_ws("-", F.lit("S3"), "mode", "repeat").alias("run_id"), F.lit("batch").alias("scene"), "version", "sample_id", F.lit("utf-8").alias("encoding"), "repeat", "mode", F.lit(False).alias("warmup"))
+    parts = [runs_of("WARM", "parse", first, versions, 1, True), runs_of("S1", "parse", s, versions, repeats), runs_of("S2", "full", s, versions, repeats), batch, runs_of("A1", "detect", s.where(F.col("sample_id").isin(*detect)), versions[-1:], repeats)]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def numbered(rows: DataFrame, by: str, order: Sequence[Column], name: str = "no", parts: int = 200) -> DataFrame:
+    """Rows numbered from 1 in ``order``, which begins with the numeric column ``by``.
+
+    Ranges of ``by`` are numbered each for itself, after the rows of the ranges before; only the ranges' counts
+    come together.  The bounds are quantiles; nulls come first.
+    """
+    bounds = rows.agg(F.percentile_approx(F.col(by).cast("double"), [i / parts for i in range(1, parts)], 10_000).alias("b")).head()["b"]
+    part = F.lit(0)
+    if bounds:
+        part = F.size(F.filter(F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]), lambda b: b < F.col(by).cast("double")))
+        part = F.when(F.col(by).isNull(), -1).otherwise(part)
+    dealt = rows.withColumn("_part", part)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # as many rows as parts
+    inside = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return inside.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_i") + F.col("_before")).cast("int")).drop("_part", "_i", "_before")
+
+
+def totals(results: DataFrame, success: str, count: str) -> DataFrame:
+    """One row: books, ok, failed, chapters, percent done."""
+    ok = F.count(F.when(F.col(success), 1))
+    return results.agg(F.count(F.lit(1)).alias("books"), ok.alias("ok"), (F.count(F.lit(1)) - ok).alias("failed"), F.sum(F.when(F.col(success), F.col(count)).otherwise(0)).cast("long").alias("chapters"), F.round(100.0 * ok / F.count(F.lit(1)), 2).alias("percent"))
+
+
 def seeded_order(plan: DataFrame, seed: int, key: str = "run_id") -> DataFrame:
     """The same shuffled order for the same seed, warm-ups first; seq from 0.  A plan is a parameter grid, not data."""
     w = Window.orderBy(~F.col("warmup"), F.md5(F.concat_ws(":", F.lit(str(seed)), key)))

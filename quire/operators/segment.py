@@ -30,6 +30,11 @@ def lines(docs: DataFrame, book: str = "doc_id", text: str = "text", newlines: s
     return rows.select(F.col("book").alias(book), F.col("line_no").cast("long").alias("line_no"), "line", (F.col("_all") | (F.col("line_no") < F.col("_n") - 1)).alias("ended"))
 
 
+def line_range(rows: DataFrame, start: int, end: int) -> DataFrame:
+    """Lines [start, end) of every book."""
+    return rows.where((F.col("line_no") >= start) & (F.col("line_no") < end))
+
+
 def _with_titles(docs: DataFrame, book: str, text: str, pattern: str | None, newlines: str, max_title: int, search: bool) -> DataFrame:
     """line_arrays and _t, the places (from 0) of title lines."""
     rows = line_arrays(docs, book, text, newlines)

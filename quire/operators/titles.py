@@ -34,6 +34,14 @@ def is_title(line: Column, ended: Column, pattern: str | None = None, max_title:
     return F.when(bare & (n < max_title), line.rlike(java_pattern(pattern or DEFAULT_PATTERN, search))).otherwise(F.lit(False))
 
 
+def rule_pattern(rules: DataFrame, name: str) -> str:
+    """The expression of the rule that goes by a name; of several the first in order of use."""
+    found = order_rules(rules).where(F.col("name") == name).select("rule").head()
+    if found is None:
+        raise KeyError(f"no rule {name!r} with an expression")
+    return found["rule"]
+
+
 # ---- fixed values: the names that order the rule table
 _FIRST = (("目录", "=", -9998), ("目录(去空白)", "in", -9997), ("通用规则", "=", -9996), ("晋江", "in", 9998))
 

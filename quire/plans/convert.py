@@ -13,24 +13,32 @@ from quire.operators.titles import DEFAULT_TITLE
 from quire.sources import epub, files
 
 
-def chapters_of_files(spark: SparkSession, roots: Sequence[str], pattern: str | None = None, limit: int = 512 * 1024, split_lines: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(books, chapters) of all text files under the roots.  split_lines > 0: titles are numbered in two phases."""
-    books = files.detect(files.scan_files(spark, roots), limit)
-    flagged = segment.flag_titles(files.file_lines(books), pattern)
+def chapters_of_files(spark: SparkSession, roots: Sequence[str], pattern: str | None = None, limit: int = 512 * 1024, split_lines: int = 50_000, encoding: str | None = None, recursive: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(books, chapters) of all text files under the roots; ``encoding`` stands for detection.
+
+    Titles are numbered in two phases, in pieces of ``split_lines`` lines (0: in one phase, a book a task).  A file
+    that cannot be read has a book, with ``error``, and no chapter.
+    """
+    found = files.scan_files(spark, roots, recursive=recursive)
+    books = files.detect(found.withColumn("declared", F.lit(encoding)) if encoding else found, limit)
+    bad = files.unreadable(books)
+    books = books.join(bad, "book_id", "left").withColumn("error", F.coalesce("error", F.lit("")))
+    good = books.where("error = ''")
+    flagged = segment.flag_titles(files.file_lines(good), pattern)
     numbered = segment.number_sections_two_phase(flagged, "book_id", split_lines) if split_lines else segment.number_sections(flagged, "book_id")
-    found = segment.chapters_of(segment.sections(numbered, "book_id"), "book_id")
-    bare = books.select("book_id").join(flagged.select("book_id").distinct(), "book_id", "left_anti")
+    chapters = segment.chapters_of(segment.sections(numbered, "book_id"), "book_id")
+    bare = good.select("book_id").join(flagged.select("book_id").distinct(), "book_id", "left_anti")
     empty = bare.select("book_id", F.lit(1).alias("chap_no"), F.lit(DEFAULT_TITLE).alias("title"), F.lit("").alias("body"), F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_chars"))
-    return books, found.unionByName(empty)
+    return books, chapters.unionByName(empty)
 
 
-def convert(spark: SparkSession, roots: Sequence[str], out: str, title: str | None = None, author: str = "", pattern: str | None = None, max_chapters: int = 0, engine: str = "default", cover: bytes | None = None) -> DataFrame:
+def convert(spark: SparkSession, roots: Sequence[str], out: str, title: str | None = None, author: str = "", pattern: str | None = None, max_chapters: int = 0, engine: str = "default", cover: bytes | None = None, encoding: str | None = None, recursive: bool = True) -> DataFrame:
     """Results: book_id, path, out_path, chapter_count, error, epub; ``max_chapters`` > 0 splits books into volumes.
 
     ``engine`` infers the volumes that nest the table of contents of an unsplit book ("none": no nesting).  ``cover``
-    is the image of every book and of each of its volumes.
+    is the image of every book and of each of its volumes.  A file or book that fails is a row with its error.
     """
-    books, chapters = chapters_of_files(spark, roots, pattern)
+    books, chapters = chapters_of_files(spark, roots, pattern, encoding=encoding, recursive=recursive)
     volume = segment.volume_of(F.col("chap_no"), max_chapters)
     parts = chapters.withColumn("volume", volume).withColumn("key", F.concat_ws("/", F.col("book_id").cast("string"), F.col("volume").cast("string")))
     named = parts.join(books.select("book_id", F.col("path")), "book_id")
@@ -42,6 +50,8 @@ def convert(spark: SparkSession, roots: Sequence[str], out: str, title: str | No
     done = epub.package(named, "key", head, F.lit(author), cover=F.lit(cover).cast("binary"), groups=nested)
     done = done.select(F.split("key", "/")[0].cast("long").alias("book_id"), F.split("key", "/")[1].cast("int").alias("volume"), "epub", "chapter_count", "error")
     got = done.join(books.select("book_id", "path"), "book_id")
+    lost = books.where("error <> ''").select("book_id", F.lit(1).alias("volume"), F.lit(None).cast("binary").alias("epub"), F.lit(0).alias("chapter_count"), "error", "path")
+    got = got.unionByName(lost)
     tail = F.when(F.lit(max_chapters > 0), F.concat(F.lit("_卷"), F.col("volume").cast("string"))).otherwise(F.lit(""))
     got = got.withColumn("_stem", F.concat(stem(F.col("path")), tail))
     got = unique_paths(got, F.lit(out), F.col("_stem"), ".epub", [F.col("path"), F.col("volume")])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quire.functions import encoding as enc, text as tx
 from quire.operators import hierarchy as hi, runs, segment as sg
-from quire.operators.titles import DEFAULT_PATTERN, order_rules
+from quire.operators.titles import order_rules, rule_pattern
 from quire.sources import epub
 
 
@@ -339,7 +339,8 @@ def unique_output_paths(spark, d):
 
 @query("SELECT row_number() OVER (ORDER BY n_chars, doc_id)::INT AS no, doc_id, md5(text) AS sum FROM documents")
 def manifest_ids(spark, d):
-    return _t(spark, d, "documents").select(F.row_number().over(Window.orderBy("n_chars", "doc_id")).alias("no"), "doc_id", F.md5("text").alias("sum"))
+    docs = _t(spark, d, "documents").select("n_chars", "doc_id", F.md5("text").alias("sum"))
+    return runs.numbered(docs, "n_chars", [F.col("n_chars"), F.col("doc_id")]).select("no", "doc_id", "sum")
 
 
 # ---------------------------------------------------------------- run logs
@@ -476,5 +477,93 @@ def peak_usage(spark, d):
     return _t(spark, d, "events").groupBy("user_id").agg(F.max("value").alias("peak"), F.countDistinct("event_type").alias("kinds"), F.count(F.when(F.col("event_type") == "purchase", 1)).alias("ok"))
 
 
+# ---------------------------------------------------------------- more of the same operators
+
+
+@query(f"WITH {LINES} SELECT doc_id, line_no, line FROM lines WHERE line_no >= 2 AND line_no < 5")
+def line_range(spark, d):
+    return sg.line_range(sg.lines(_t(spark, d, "documents")), 2, 5).select("doc_id", "line_no", "line")
+
+
+_PLAIN_TITLE = "^[A-Z][a-z]{1,3} "
+
+
+@query(f"WITH {CHAPTERS} SELECT * FROM chapters".replace(TITLE_RE2, _PLAIN_TITLE))
+def rule_segment(spark, d):
+    """The rule table chooses the pattern by name."""
+    return sg.segment(_t(spark, d, "documents"), pattern=rule_pattern(_rules(spark), "目录"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'utf-8' ELSE 'gb18030' END AS encoding FROM documents WHERE text <> ''")
+def profile_encoding(spark, d):
+    docs = _t(spark, d, "documents").where("text <> ''")
+    c = F.when(F.col("doc_id") % 2 == 0, F.col("text").cast("binary")).otherwise(F.concat(F.unhex(F.lit("CED2")), F.col("text").cast("binary")))
+    return docs.select("doc_id", enc.profile(c).alias("encoding"))
+
+
+@query(f"WITH {_LOGS} SELECT run_id, scene, warmup FROM logs WHERE scene = 'S2' OR warmup")
+def scene_filter(spark, d):
+    return runs.in_scenes(_logs(spark, d), ["S2"]).select("run_id", "scene", "warmup")
+
+
+@query(f"WITH {LINES}, x AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) || CASE WHEN bool_and(ended) THEN chr(10) ELSE '' END AS t FROM lines GROUP BY doc_id) SELECT doc_id, md5(t) AS sum, strlen(t)::BIGINT AS n_bytes FROM x")
+def read_chapter_bytes(spark, d):
+    """The byte ranges of all chapters, read from the text, and what stands before the first, give the text again."""
+    docs = _t(spark, d, "documents").where("text <> ''").select("doc_id", "text")
+    ranges = sg.toc(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("r"))
+    raw, lead = F.col("text").cast("binary"), F.coalesce(F.get("r", F.lit(0))["start"], F.octet_length("text").cast("long"))
+    parts = F.transform(F.coalesce("r", F.array().cast("array<struct<start:bigint,end:bigint>>")), lambda x: sg.read_range(raw, x["start"].cast("int"), x["end"].cast("int")))
+    whole = F.concat(sg.read_range(raw, F.lit(0), lead.cast("int")), F.array_join(parts, ""))
+    return docs.join(ranges, "doc_id", "left").select("doc_id", F.md5(whole).alias("sum"), F.octet_length(whole).cast("long").alias("n_bytes"))
+
+
+@query(f"WITH {_INDEX}, t AS (SELECT book, unnest(regexp_extract_all(translate(trim(title), '【】()（）[] 　', ''), '第\\s*{_NUM}+\\s*([卷部篇集章回节])', 1)) AS unit FROM idx) SELECT book, min_by(unit, strpos('卷部篇集章', unit)) AS unit FROM t WHERE strpos('卷部篇集章', unit) > 0 GROUP BY book")
+def fixed_priority_unit(spark, d):
+    return hi.fixed_priority_unit(_index(spark, d))
+
+
+_SAMPLES = "s AS (SELECT printf('%02d', n_nationkey + 1) AS sample_id, CASE WHEN n_nationkey = 3 THEN 'gb18030' ELSE 'utf-8' END AS encoding FROM nation WHERE n_nationkey < 6)"
+
+
+@query(
+    f"""WITH {_SAMPLES}, v AS (SELECT unnest(['v1', 'v2', 'v3']) AS version), r AS (SELECT unnest([1, 2, 3])::INT AS repeat), m AS (SELECT unnest(['sub', 'pipe', 'serve']) AS mode)
+SELECT 'WARM-' || version || '-02' AS run_id, 'parse' AS scene, version, '02' AS sample_id, 'utf-8' AS encoding, 1 AS repeat, '' AS mode, true AS warmup FROM v
+UNION ALL SELECT 'S1-' || version || '-' || sample_id || '-' || repeat, 'parse', version, sample_id, encoding, repeat, '', false FROM s, v, r
+UNION ALL SELECT 'S2-' || version || '-' || sample_id || '-' || repeat, 'full', version, sample_id, encoding, repeat, '', false FROM s, v, r
+UNION ALL SELECT 'S3-' || mode || '-' || repeat, 'batch', CASE WHEN mode = 'sub' THEN 'v2' ELSE 'v3' END, (SELECT string_agg(sample_id, '+' ORDER BY sample_id) FROM s WHERE encoding = 'utf-8'), 'utf-8', repeat, mode, false FROM m, r
+UNION ALL SELECT 'A1-v3-' || sample_id || '-' || repeat, 'detect', 'v3', sample_id, encoding, repeat, '', false FROM s, r WHERE sample_id IN ('01', '05')"""
+)
+def bench_plan(spark, d):
+    n = _t(spark, d, "nation").where("n_nationkey < 6")
+    samples = n.select(F.format_string("%02d", F.col("n_nationkey") + 1).alias("sample_id"), F.when(F.col("n_nationkey") == 3, "gb18030").otherwise("utf-8").alias("encoding"))
+    return runs.bench_plan(samples, ["v1", "v2", "v3"], {"sub": "v2", "pipe": "v3", "serve": "v3"}, "02", ["01", "05"])
+
+
+@query("SELECT DISTINCT source || '/' || lang AS path FROM documents")
+def distinct_paths(spark, d):
+    return _t(spark, d, "documents").select(F.concat_ws("/", "source", "lang").alias("path")).dropDuplicates(["path"])
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10")
+def largest_files(spark, d):
+    """A report of ten rows."""
+    return _t(spark, d, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(10)
+
+
+@query(f"WITH {CHAPTERS}, v AS (SELECT doc_id || '/' || ((chap_no - 1) // 2 + 1) AS book FROM chapters) SELECT book, count(*)::INT AS chapter_count, true AS valid FROM v GROUP BY book")
+def volume_package(spark, d):
+    c = sg.segment(_t(spark, d, "documents"))
+    parts = c.withColumn("book", F.concat_ws("/", F.col("doc_id").cast("string"), sg.volume_of(F.col("chap_no"), 2).cast("string")))
+    return epub.package(parts, "book").select("book", "chapter_count", epub.is_valid(F.col("epub")).alias("valid"))
+
+
+@query(f"WITH {CHAPTERS}, n AS (SELECT doc_id, count(*) AS n FROM chapters GROUP BY 1), r AS (SELECT d.doc_id, d.doc_id IN (SELECT doc_id FROM labels) AS ok, n FROM documents d JOIN n USING (doc_id)) SELECT count(*) AS books, count(*) FILTER (WHERE ok) AS ok, count(*) FILTER (WHERE NOT ok) AS failed, coalesce(sum(n) FILTER (WHERE ok), 0)::BIGINT AS chapters, round(100.0::DOUBLE * count(*) FILTER (WHERE ok) / count(*), 2) AS percent FROM r")
+def batch_totals(spark, d):
+    docs = _t(spark, d, "documents")
+    n = sg.segment(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    done = runs.reconcile(docs, _t(spark, d, "labels"), "doc_id")
+    return runs.totals(done.join(n, "doc_id"), "success", "n")
+
+
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     return chapter_split(spark, sf_dir)

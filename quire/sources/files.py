@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from quire.functions import encoding as enc
+from quire.operators.runs import numbered
 
 RULES = "enable boolean, id bigint, name string, rule string, serialNumber int, example string"
 RUN_LOG = (
@@ -66,7 +67,10 @@ def file_lines(files: DataFrame, block: int = 1 << 20) -> DataFrame:
 
         for b in rows:
             for book, raw, name in zip(*(b.column(i).to_pylist() for i in range(3))):
-                decoder = codecs.getincrementaldecoder(name or "utf-8")(errors="ignore")
+                try:
+                    decoder = codecs.getincrementaldecoder(name or "utf-8")(errors="ignore")
+                except LookupError:  # such a file has no lines; unreadable() tells of it
+                    continue
                 rest, no = "", 0
                 for at in range(0, max(1, len(raw or b"")), block):
                     part = (raw or b"")[at : at + block]
@@ -88,6 +92,31 @@ def file_lines(files: DataFrame, block: int = 1 << 20) -> DataFrame:
     return files.select("book_id", "content", "encoding").mapInArrow(run, "book_id bigint, line_no bigint, line string, ended boolean")
 
 
+def unreadable(books: DataFrame) -> DataFrame:
+    """(book_id, error) of files whose encoding is none that there is."""
+    return books.where(~enc.is_codec(F.coalesce("encoding", F.lit("utf-8")))).select("book_id", F.concat(F.lit("unknown encoding: "), F.col("encoding")).alias("error"))
+
+
+def split_file_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
+    """(book_id, path, line_no, line, ended) of text files of any size: a file is read in blocks by many tasks.
+
+    Lines are found as bytes (ends \\n, \\r\\n, \\r), so the encoding must hold no such byte inside a character, as is so for
+    UTF-8, GB18030, Big5 and all single-byte ones, not for UTF-16.  Lines are numbered within each block, after those
+    of the blocks before; only the blocks' counts come together.  ``ended`` is true of all lines (whether the last one
+    has an end is not seen by a reader of blocks).
+    """
+    if encoding.lower().replace("_", "-").startswith(("utf-16", "utf-32")):
+        raise ValueError("lines of UTF-16 and UTF-32 cannot be found as bytes: use file_lines")
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), F.col("value").cast("binary").alias("raw"))
+    counts = rows.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at"))
+    inside = F.row_number().over(Window.partitionBy("path", "block").orderBy("i")) - 1
+    got = rows.withColumn("k", inside).join(offsets, ["path", "block"])
+    line = enc.decode(F.col("raw"), F.lit(encoding)) if encoding.lower() not in ("utf-8", "utf8") else F.make_valid_utf8(F.col("raw").cast("string"))
+    return got.select(F.xxhash64("path").alias("book_id"), "path", (F.col("at") + F.col("k")).alias("line_no"), line.alias("line"), F.lit(True).alias("ended"))
+
+
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     """UTF-8 text without Python: one row per line, splittable; for counts and filters that need no order."""
     return spark.read.text(path).select(F.col("value").alias("line"), F.input_file_name().alias("path"))
@@ -112,11 +141,11 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ingest(files: DataFrame) -> DataFrame:
-    """A manifest of scanned files: id by size, MD5, the first encoding that decodes all of it."""
+    """A manifest of scanned files: id by size, MD5, the first encoding that decodes all of it.  The same files give the same manifest."""
     name = F.regexp_extract("path", r"([^/\\]*)$", 1)
-    n = F.row_number().over(Window.orderBy("length", "path"))
     got = files.select(name.alias("orig_name"), F.col("length").alias("size_bytes"), F.round(F.col("length") / 1048576, 2).alias("size_mb"), enc.strict_ladder(F.col("content")).alias("encoding"), F.md5("content").alias("md5"), F.col("path").alias("source"), "length", "path")
-    return got.withColumn("id", F.format_string("%02d", n)).withColumn("file", F.concat("id", F.lit(".txt"))).select("id", "file", "orig_name", "size_bytes", "size_mb", "encoding", "md5", "source")
+    got = numbered(got, "length", [F.col("length"), F.col("path")], "n")
+    return got.withColumn("id", F.format_string("%02d", F.col("n"))).withColumn("file", F.concat("id", F.lit(".txt"))).select("id", "file", "orig_name", "size_bytes", "size_mb", "encoding", "md5", "source")
 
 
 def read_images(spark: SparkSession, roots: Sequence[str]) -> DataFrame:

@@ -108,3 +108,62 @@ def test_robust_fit_and_plan(spark):
     assert [(q.k, q.a, q.b) for q in r] == [("k", 1.0, 2.0)]
     s = spark.createDataFrame([(f"{i:02d}",) for i in range(1, 7)], "sample_id string")
     assert runs.plan_runs(s, ["v1", "v2", "v3"], "S1", 3).count() == 54
+
+
+def test_names_are_unique_whatever_the_stems(spark):
+    df = spark.createDataFrame([(1, "d", "a"), (2, "d", "a"), (3, "d", "a_1"), (4, "d", "a_1"), (5, "d", "a"), (6, "e", "a"), (7, "d", "a_1_1"), (8, "d", "a_3")], "id int, folder string, stem string")
+    got = {r.id: r.out_path for r in runs.unique_paths(df, F.col("folder"), F.col("stem"), ".x", [F.col("id")]).collect()}
+    assert len(set(got.values())) == 8 and got[1] == "d/a.x" and got[3] == "d/a_1.x" and got[2] == "d/a_2.x" and got[5] == "d/a_4.x" and got[4] == "d/a_1_2.x"
+    held = spark.createDataFrame([("d/a.x",), ("d/a_2.x",), ("d/b.y",)], "path string")
+    got = [r.out_path for r in runs.unique_paths(df.where("id < 4"), F.col("folder"), F.col("stem"), ".x", [F.col("id")], held).orderBy("id").collect()]
+    assert len(set(got) | {"d/a.x", "d/a_2.x"}) == 5
+
+
+def test_unknown_encoding_is_a_failed_book(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(NOVEL.encode())
+    got = convert.convert(spark, [str(tmp_path)], "out", encoding="no-such-codec").collect()
+    assert [(r.success, r.chapter_count) for r in got] == [(False, 0)] and "no-such-codec" in got[0].error
+    assert convert.convert(spark, [str(tmp_path)], "out", encoding="gb18030").collect()[0].success
+
+
+def test_command_line(spark, tmp_path):
+    from quire import cli
+
+    novel = "".join(f"第{v}卷 名\n" + "".join(f"第{v * 10 + c}章 题\n文。\n" for c in range(1, 7)) for v in (1, 2))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.txt").write_bytes(novel.encode())
+    assert cli.main(["-i", str(tmp_path / "in"), "-o", str(tmp_path / "out"), "-a", "me"], spark) == 0
+    with zipfile.ZipFile(tmp_path / "out" / "b.epub") as z:
+        assert z.read("EPUB/nav.xhtml").decode().count("<ol>") >= 1
+    assert cli.main(["-i", str(tmp_path / "in"), "-o", str(tmp_path / "out"), "--encoding", "nope"], spark) == 1
+
+
+def test_files_are_read_in_blocks(spark, tmp_path):
+    text = "".join(f"行{i}，内容\r\n" if i % 3 else f"line {i}\n" for i in range(900))
+    for name in ("utf-8", "gb18030"):
+        path = tmp_path / f"{name}.txt"
+        path.write_bytes(text.encode(name))
+        was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        try:
+            got = files.split_file_lines(spark, str(path), name)
+            assert got.select(F.countDistinct("path")).head()[0] == 1
+            rows = got.orderBy("line_no").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+        assert [r.line for r in rows] == text.splitlines() and [r.line_no for r in rows] == list(range(900))
+
+
+def test_bench_plan_has_126_runs(spark):
+    s = spark.createDataFrame([(f"{i:02d}", "gb18030" if i == 4 else "utf-8") for i in range(1, 7)], "sample_id string, encoding string")
+    plan = runs.bench_plan(s, ["v1", "v2", "v3"], {"sub": "v2", "pipe": "v3", "serve": "v3"}, "02", ["01", "05"])
+    rows = runs.seeded_order(plan, 20260807).orderBy("seq").collect()
+    assert len(rows) == 126 == len({r.run_id for r in rows}) and [r.seq for r in rows] == list(range(126)) and [r.warmup for r in rows[:4]] == [True] * 3 + [False]
+    assert {r.sample_id for r in rows if r.scene == "batch"} == {"01+02+03+05+06"}
+
+
+def test_rows_are_numbered_in_ranges(spark):
+    df = spark.createDataFrame([(i % 7 if i % 11 else None, i) for i in range(500)], "a int, b int").repartition(5)
+    got = runs.numbered(df, "a", [F.col("a"), F.col("b")], parts=5).orderBy("no").collect()
+    assert [r.no for r in got] == list(range(1, 501)) and [(r.a is not None, r.a, r.b) for r in got] == sorted([(r.a is not None, r.a, r.b) for r in got], key=lambda x: (x[0], x[1] or 0, x[2]))
+    assert runs.numbered(df.where("false"), "a", [F.col("a")]).count() == 0
