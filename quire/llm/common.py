@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import re
 import shutil
 import tempfile
@@ -95,6 +97,16 @@ def columns_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
-def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches that have rows."""
-    return (b for b in rows if b.num_rows)
+def batches(rows: Iterator[pa.RecordBatch], size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches that have rows, in slices of about ``size`` bytes.
+
+    Workers are used again by later tasks, so at the end what was freed goes back to the system.
+    """
+    for b in rows:
+        step = max(64, b.num_rows * size // max(1, b.nbytes))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+    del rows
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

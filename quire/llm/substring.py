@@ -185,7 +185,7 @@ def chunks_of(df: DataFrame, text_col: str, keep: tuple[str, ...], width: int, g
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
                 held.append(b)
-                size += b.column(len(names)).get_total_buffer_size() * b.num_rows // whole.num_rows if whole.num_rows > 64 else b.nbytes
+                size += b.nbytes
                 if size >= CHUNK_BYTES:
                     yield pack(held, number)
                     number, held, size = number + 1, [], 0

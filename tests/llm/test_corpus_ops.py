@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import os
 import random
 import re
@@ -361,3 +362,26 @@ def test_the_shared_folder_is_emptied(spark):
     path = common._WRITTEN[-1]
     common.release(spark)
     assert not os.path.exists(path) and not common._WRITTEN
+
+
+def test_bands_by_brute_force(spark):
+    rows, df = corpus(spark, 120, seed=4)
+    got = perplexity.judge(df).collect()
+    by = {}
+    for r in got:
+        if not r.base_failed and r.perplexity is not None:
+            by.setdefault(r.lang, []).append(math.floor(math.log(r.perplexity) / perplexity.STEP + 1e-9))
+    assert None in by and len(by) == 3
+    verdicts = set()
+    for r in got:
+        bins = sorted(by[r.lang])
+        q1, q3 = (min(b for b in bins if sum(x <= b for x in bins) >= f * len(bins)) * perplexity.STEP for f in (0.25, 0.75))
+        q3 += perplexity.STEP
+        size = len(b" ".join((rows[r.doc_id][1] or "").encode().lower().split()))
+        wide, scatter = max(q3 - q1, 0.02), math.sqrt(max(size, 1))
+        low, high = q1 - 3 * wide - 6 / scatter, q3 + 2 * wide + 3 / scatter
+        assert abs(math.log(r.lower) - low) < 1e-9 and abs(math.log(r.upper) - high) < 1e-9
+        inside = r.perplexity is not None and low <= math.log(r.perplexity) <= high
+        assert r.kept == (inside and not r.base_failed)
+        verdicts.add((r.base_failed, r.kept))
+    assert len(verdicts) >= 2

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import os
 import random
 import re
@@ -196,6 +197,53 @@ def test_language(spark, docs):
     assert {(r.lang_pred, r.score) for r in langid.identify(docs, none).collect()} == {("und", 0.0)}
 
 
+def plain_bayes(train, texts, bits=16, alpha=0.1, temper=32):
+    """Naive Bayes letter by letter: (language, score) of each text."""
+
+    def grams(text):
+        cp = [ord(c.lower()[0]) if c.isalpha() else 0 for c in text or ""] + [0, 0]
+        for n in (1, 2, 3):
+            for i in range(len(cp) - 2):
+                if any(cp[i : i + n]):
+                    h = n
+                    for c, salt in zip(cp[i : i + n], langid.SALTS):
+                        h = (h ^ c) * salt & 0xFFFFFFFF
+                        h ^= h >> 15
+                    yield h >> 32 - bits
+
+    docs, counts = {}, {}
+    for text, lang in train:
+        if text is not None and lang is not None:
+            docs[lang] = docs.get(lang, 0) + 1
+            for g in grams(text):
+                counts.setdefault(lang, {})[g] = counts.setdefault(lang, {}).get(g, 0) + 1
+    langs, out = sorted(docs), []
+    total = {k: sum(counts.get(k, {}).values()) + alpha * 2**bits for k in langs}
+    for text in texts:
+        found = list(grams(text))
+        logp = [math.log((docs[k] + 1) / (sum(docs.values()) + len(langs))) + sum(math.log((counts.get(k, {}).get(g, 0) + alpha) / total[k]) for g in found) for k in langs]
+        if not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0))
+            continue
+        cut = [x * min(len(found), temper) / len(found) for x in logp]
+        best = max(range(len(langs)), key=lambda i: logp[i])
+        out.append((langs[best], 1 / sum(math.exp(x - cut[best]) for x in cut)))
+    return out
+
+
+def test_language_equals_plain_bayes(spark, docs):
+    rng = random.Random(9)
+    words = {"en": "the of and with that which Was from they".split(), "fr": "les des été dans que où sur est".split(), "de": "der und für über nicht ÄRGER mit".split()}
+    rows = [(i, " ".join(rng.choice(words[g] + words["en"][:3]) for _ in range(rng.randint(1, 12))), g) for i in range(60) for g in words]
+    rows = [(k, t, g) for k, (_, t, g) in enumerate(rows)] + [(900, None, "en"), (901, "nur so", None), (902, "123 ...", "de"), (None, "où est", "fr")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(table.where(~langid.held_out(F.col("doc_id"))))
+    train = [(r.text, r.lang) for r in table.where(~langid.held_out(F.col("doc_id"))).collect()]
+    got = langid.identify(table.select("text").union(docs.select("text").where("length(text) < 200 or text is null")), model, keep={"text": F.col("text")}).collect()
+    for r, (lang, score) in zip(got, plain_bayes(train, [r.text for r in got])):
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4, r.text
+
+
 def test_language_blocks_do_not_change_the_result(monkeypatch):
     text = "".join(random.Random(2).choice("abc é.") for _ in range(4000))
     whole = np.sort(np.concatenate([b for _, _, b in langid._grams([text, None, "ab"], (1, 2, 3), 12)]))
