@@ -23,7 +23,6 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from quire.llm.common import batches, columns_of, utf8, write_shared
@@ -55,19 +54,17 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, fp, row, k0, ...): the fingerprint as a signed long, a number of the row, the columns of ``keep``."""
-    part = df.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("t"))
-    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in part.schema.fields[1:-1])
+def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 3, row_col: str | None = None) -> DataFrame:
+    """(id, fp) and, with ``row_col``, row: the fingerprint as a signed long."""
+    more = [F.col(row_col).alias("row")] if row_col else []
+    part = df.select(F.col(id_col).cast("long").alias("id"), *more, F.col(text_col).alias("t"))
 
     def run(rows):
-        at = TaskContext.get().partitionId() << 40
         for b in batches(rows):
             fps = np.array([fingerprint(t, width) for t in columns_of(b, "t")[0]], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array(range(at, at + len(fps)), pa.int64()), *b.columns[1:-1]], ["id", "fp", "row", *b.schema.names[1:-1]])
-            at += len(fps)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[1:-1]], ["id", "fp", *b.schema.names[1:-1]])
 
-    return part.mapInArrow(run, f"id bigint, fp bigint, row bigint{more}")
+    return part.mapInArrow(run, "id bigint, fp bigint" + (", row bigint" if row_col else ""))
 
 
 def masks(radius: int, free: int = (1 << 64) - 1) -> list[int]:
@@ -174,8 +171,14 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
 def representatives(df: DataFrame, keep: tuple[str, ...], text_col: str = "text", id_col: str = "doc_id", width: int = 3, radius: int = 3) -> DataFrame:
     """Columns ``keep`` of one row of each group of near-duplicates: that of the least id, null ids last, of equal ids the earlier row."""
-    rows = write_shared(fingerprints(df, text_col, id_col, width, keep), "simhash-rows")
+    held = {f"k{i}": F.col(c) for i, c in enumerate(keep)}
+    text = f"k{keep.index(text_col)}" if text_col in keep else "t"  # a text is held once
+    kept = df.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), *[c.alias(k) for k, c in (held | {text: F.col(text_col)}).items()])
+    kept = write_shared(kept, "simhash-rows")  # rows have their numbers from here on
+    rows = write_shared(fingerprints(kept, text, "id", width, "row"), "simhash-fps")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     by_fp = rows.select("fp", order.alias("o")).groupBy("fp").agg(F.min("o").alias("o"))
     stay = by_fp.join(_labels(rows, radius), "fp").groupBy("component").agg(F.min("o").alias("o")).select(F.col("o.row").alias("row"))
-    return rows.join(stay, "row", "left_semi").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)])
+    # one short entry per document that stays is hashed; texts are not sorted
+    got = kept.select("row", *[f"k{i}" for i in range(len(keep))]).join(stay.hint("shuffle_hash"), "row", "left_semi")
+    return got.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)])
