@@ -7,15 +7,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: Line ends of a text file, and the further ones that an in-memory string is split at.
 FILE_NEWLINES = r"\r\n|[\n\r]"
 UNICODE_NEWLINES = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-_SPACE = r"[\s\x1c-\x1f\x85]"
+SPACE = r"[\s\x1c-\x1f\x85]"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?U)\\A{_SPACE}+|{_SPACE}+\\z", "")
+    return F.regexp_replace(c, f"(?U)\\A{SPACE}+|{SPACE}+\\z", "")
 
 
 def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?U)\\A{_SPACE}+", "")
+    return F.regexp_replace(c, f"(?U)\\A{SPACE}+", "")
 
 
 def xml_escape(c: Column) -> Column:

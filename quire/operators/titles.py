@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.functions.text import lstrip
+from quire.functions.text import SPACE, lstrip
 
 # ---- fixed values: numerals and the default title pattern
 NUMERAL = r"[\d〇零一二两三四五六七八九十百千万壹贰叁肆伍陆柒捌玖拾佰仟]"
@@ -29,9 +29,11 @@ def java_pattern(pattern: str, search: bool = False) -> str:
 
 def is_title(line: Column, ended: Column, pattern: str | None = None, max_title: int = MAX_TITLE, search: bool = False) -> Column:
     """ended: whether the line has a line end (that counts as one character)."""
-    n = F.length(lstrip(line)) + ended.cast("int")
-    bare = F.length(lstrip(line)) > 0
-    return F.when(bare & (n < max_title), line.rlike(java_pattern(pattern or DEFAULT_PATTERN, search))).otherwise(F.lit(False))
+    size = F.length(line) + ended.cast("int")
+    bare = lstrip(line)
+    # only a long line that begins with white space must be stripped to be measured
+    fits = F.when(size < max_title, ~line.rlike(f"(?U)\\A{SPACE}*\\z")).otherwise(line.rlike(f"(?U)\\A{SPACE}") & (F.length(bare) + ended.cast("int") < max_title) & (bare != ""))
+    return F.when(fits, line.rlike(java_pattern(pattern or DEFAULT_PATTERN, search))).otherwise(F.lit(False))
 
 
 def rule_pattern(rules: DataFrame, name: str) -> str:
