@@ -23,7 +23,7 @@ import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.llm.chunks import Cache, Chunked, simple
+from quire.llm.chunks import PATTERN, Cache, Chunked, simple
 from quire.llm.common import batches, columns_of, utf8
 
 MASK = (1 << 64) - 1
@@ -122,22 +122,26 @@ class Encoder:
         # White_Space of Unicode, spelled out: the regex module's own \s also takes U+001C to U+001F
         space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
         spelled = pattern.replace(r"[^\s", "[^" + space).replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]")
-        self.pieces = regex.compile(spelled, regex.V0).findall
+        self.pieces, self.cuts = regex.compile(spelled, regex.V0).findall, pattern == PATTERN
         self.ranks, self.whole = ranks, PerfectHash(ranks)
         self.vocab: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for k, r in ranks.items():
             self.vocab[r] = k
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("pieces", "chunked")} | {"pattern": self.pieces.__self__.pattern}
+        return {k: v for k, v in self.__dict__.items() if k not in ("pieces", "chunked", "known")} | {"pattern": self.pieces.__self__.pattern}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self.pieces = regex.compile(self.__dict__.pop("pattern"), regex.V0).findall
 
+    @functools.cached_property
+    def known(self) -> Cache:
+        return Cache(self._piece, 300_000)
+
     @functools.cached_property
     def chunked(self) -> Chunked:
-        known = Cache(self._piece, 300_000)
+        known = self.known
 
         def make(chunk: str) -> bytes:
             got = simple(chunk) or self.pieces(chunk)
@@ -160,6 +164,8 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if not self.cuts:
+            return b"".join([self.known[p] for p in self.pieces(text or "")])
         return b"".join(self.chunked(text or ""))
 
     def decode(self, ids: bytes) -> bytes:

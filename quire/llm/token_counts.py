@@ -13,21 +13,24 @@ then the blocks), so that no single task orders all lengths.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.llm.bpe import read_ranks
-from quire.llm.chunks import Chunked
+from quire.llm.chunks import PATTERN, Chunked
 from quire.llm.common import batches, columns_of, write_shared
 
 BLOCK = 4096
 
 
 @functools.lru_cache(maxsize=2)
-def _counter(path: str, pattern: str) -> Chunked:
+def _counter(path: str, pattern: str) -> Callable[[str], list[int]]:
     encode = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={}).encode_ordinary
+    if pattern != PATTERN:
+        return lambda text: [len(encode(text))]
     return Chunked(lambda c: len(encode(c)), lambda c: len(encode(" " + c)))
 
 

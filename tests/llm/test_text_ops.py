@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from quire.llm import bpe, digest, langid, license_rules, licenses, packing, packing_rounds, token_counts  # noqa: E402
+from quire.llm import bpe, chunks, digest, langid, license_rules, licenses, packing, packing_rounds, token_counts  # noqa: E402
 
 #: null, empty, blank, repeated rows, odd characters, a long text
 TEXTS = [None, "", "   \n\t", "a", "A b c", "A b c", "the mit license\n\n x", "né ½² 中文 \x1c\x85 end", "don't  stop <|endoftext|> İ́", "word " * 5000, "x" * 3000]
@@ -49,6 +49,22 @@ def test_bpe_equals_tiktoken_and_round_trips(docs, reference):
     assert bpe.encode(docs.where("false"), enc).count() == 0
 
 
+def test_other_patterns_are_not_cut(docs, reference):
+    import tiktoken
+
+    other = r"\p{Lu}?\p{Ll}+|\p{Lu}+|\p{N}{1,3}|[^\s\p{L}\p{N}]+[\r\n]*|\s+"
+    ranks = reference[0].ranks
+    enc, tk = bpe.Encoder(ranks, other), tiktoken.Encoding("o", pat_str=other, mergeable_ranks=ranks, special_tokens={})
+    texts = [r.text for r in docs.select("text").collect()] + ["aB cD.\n x", "12345 FOOBar \n\n!"]
+    for t in texts:
+        want = tk.encode_ordinary(t or "")
+        assert enc.encode(t) == struct.pack(f"<{len(want)}I", *want), t
+    assert enc.cuts is False and reference[0].cuts and chunks.PATTERN == public_tokenizers.PATTERN
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    got = token_counts.count_tokens(docs, path, other, keep={"text": F.col("text")}).collect()
+    assert all(r.n_tokens == len(tk.encode_ordinary(r.text or "")) for r in got)
+
+
 def test_perfect_hash_is_minimal(reference):
     h = reference[0].whole
     assert all(h.get(k) == r for k, r in reference[0].ranks.items())
@@ -57,8 +73,6 @@ def test_perfect_hash_is_minimal(reference):
 
 
 def test_cache_may_be_tiny(reference, monkeypatch):
-    from quire.llm import chunks
-
     c = chunks.Cache(len, 4)
     assert [c[w] for w in ("a", "bb", "ccc", "a", "dddd", "a", "bb")] == [1, 2, 3, 1, 4, 1, 2] and len(c) <= 2
 
