@@ -22,11 +22,15 @@ def latest(logs: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     return logs.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
-def medians(logs: DataFrame, keys: dict[str, Column], fields: Sequence[str], ratios: Sequence[str] = (), digits: int = 4, values: Sequence[str] = ()) -> DataFrame:
-    """One row per key: n, the median of each field (nulls left out), the share of each true flag, the raw values."""
+def medians(logs: DataFrame, keys: dict[str, Column], fields: Sequence[str], ratios: Sequence[str] = (), digits: int = 4, values: Sequence[str] = (), accuracy: int = 0) -> DataFrame:
+    """One row per key: n, the median of each field (nulls left out), the share of each true flag, the raw values.
+
+    Exact medians hold a key's values together; with ``accuracy`` (as of percentile_approx) they are merged sketches.
+    """
     rows = logs.select(*[c.alias(k) for k, c in keys.items()], *dict.fromkeys([*fields, *ratios, *values]))
     aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.round(F.median(f), digits).alias(f"{f}_median") for f in fields]
+    median = (lambda f: F.percentile_approx(f, 0.5, accuracy)) if accuracy else F.median
+    aggs += [F.round(median(f), digits).alias(f"{f}_median") for f in fields]
     aggs += [F.round(F.avg(F.col(r).cast("double")), 2).alias(f"{r}_ratio") for r in ratios]
     aggs += [F.array_sort(F.collect_list(v)).alias(f"{v}_values") for v in values]
     return rows.groupBy(*keys).agg(*aggs)

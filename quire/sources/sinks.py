@@ -23,11 +23,12 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def markdown(df: DataFrame, title: str, rows: int = 200) -> str:
-    """A small table as Markdown; ``rows`` is the report's length."""
+    """A small table as Markdown; ``rows`` is the report's length, and the last line says how many are left out."""
     head = df.columns
-    got = df.limit(rows).collect()
+    got = df.limit(rows + 1).collect()
+    more = df.count() - rows if len(got) > rows else 0
     line = lambda cells: "| " + " | ".join("" if c is None else str(c).replace("|", "\\|") for c in cells) + " |"
-    return "\n".join([f"## {title}", "", line(head), line(["-"] * len(head)), *map(line, got), ""])
+    return "\n".join([f"## {title}", "", line(head), line(["-"] * len(head)), *map(line, got[:rows]), *([f"{more} more rows"] if more else []), ""])
 
 
 def write_books(books: DataFrame, path: str, name: Column, content: str = "epub") -> DataFrame:

@@ -71,7 +71,7 @@ def test_sinks(spark, tmp_path):
     sinks.append_jsonl(df, str(tmp_path / "j"))
     sinks.append_jsonl(df, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 4
-    assert "| 1 | a\\| |" in sinks.markdown(df, "t")
+    assert "| 1 | a\\| |" in sinks.markdown(df, "t") and "1 more rows" in sinks.markdown(df, "t", 1)
     out = sinks.write_books(df.select(F.col("v").cast("binary").alias("epub"), "k"), str(tmp_path / "b"), F.concat(F.col("k").cast("string"), F.lit(".epub"))).collect()
     assert all(r.ok for r in out) and (tmp_path / "b" / "2.epub").read_bytes() == b"b"
 
