@@ -9,7 +9,8 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Folders of this process in the shared one.
+#: Folders of this process in the shared one, and the list that takes those of the work at hand.
 _WRITTEN: list[str] = []
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,8 +68,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new name in the shared folder."""
-    _WRITTEN.append(f"{shared_dir(spark)}/quire-{label}-{uuid.uuid4().hex}")
-    return _WRITTEN[-1]
+    path = f"{shared_dir(spark)}/quire-{label}-{uuid.uuid4().hex}"
+    for held in (_WRITTEN, _SCOPE.get()):
+        if held is not None:
+            held.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[list[str]]:
+    """The list of the shared folders that are named inside, by this thread."""
+    token = _SCOPE.set(held := [])
+    try:
+        yield held
+    finally:
+        _SCOPE.reset(token)
+
+
+def read_by(df: DataFrame, paths: Iterable[str]) -> list[str]:
+    """Those of the shared folders that a table, which may not be computed yet, reads."""
+    names = {part for f in df.inputFiles() for part in f.split("/")}
+    return [p for p in paths if p.rsplit("/", 1)[1] in names]
 
 
 def write_shared(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
@@ -78,11 +99,18 @@ def write_shared(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove some of the shared folders that this process wrote."""
+    for p in paths:
+        if p in _WRITTEN:
+            _WRITTEN.remove(p)
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Remove what this process wrote in the shared folder.  Results that were not written by then are lost."""
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    discard(spark, list(_WRITTEN))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """The pipeline's stages: what each rejects and keeps."""
 
+import os
 import random
 
 import pytest
@@ -7,6 +8,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline as cp  # noqa: E402
+from quire.llm.common import shared_dir  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +54,37 @@ def test_run_and_empty_table(spark, table, tmp_path):
     assert cp.run(spark, str(tmp_path / "full")).select("doc_id").distinct().count() == 123  # with the null id
     table.where("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert cp.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def folders(spark):
+    return {f for f in os.listdir(shared_dir(spark).removeprefix("file:")) if f.startswith("quire-")}
+
+
+def labels(names):
+    return {f.removeprefix("quire-").rsplit("-", 1)[0] for f in names}
+
+
+def test_folders_that_are_no_longer_read_go(spark, table, tmp_path):
+    docs, before = table, folders(spark)
+    own = [{"quality"}, set(), {"simhash-rows", "simhash-fps"}, {"substring-settled"}, {"packing-ids"}]
+    for i, (name, stage) in enumerate(cp.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+        assert labels(folders(spark) - before) - {"simhash-large"} == own[i], name
+    before = folders(spark)
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    got = cp.run(spark, str(tmp_path))
+    assert labels(folders(spark) - before) == {"packing-ids"}
+    assert got.count() == docs.count()
+
+
+def test_results_that_are_not_written_yet_stay(spark, table, tmp_path):
+    """The docs of a stage may read what the stage before left, and other runs go on beside it."""
+    (_, quality), (_, language), (_, near_dedup) = cp.STAGES[:3]
+    at = str(tmp_path)
+    passed, other = quality(spark, table, at), quality(spark, table.where("doc_id < 60"), at + "/other")
+    told = language(spark, passed, at)
+    kept = {r.doc_id for r in near_dedup(spark, told, at).collect()}
+    assert kept == set(range(120)) | {210, 211, None}
+    assert told.where("doc_id = 200").count() == 1
+    assert other.where("doc_id < 60").count() >= 60
