@@ -41,7 +41,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
-    found = langid.identify(docs, model, keep={c: F.col(c) for c in COLUMNS})
+    found = langid.identify(docs, model, keep={c: F.col(c) for c in COLUMNS}, text_in="text")
     return found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 

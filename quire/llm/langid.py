@@ -176,18 +176,19 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
     return Model([r.lang for r in got], np.ascontiguousarray(weights), np.log((docs + 1) / (docs.sum() + len(got))) if got else docs, tuple(orders), bits)
 
 
-def identify(df: DataFrame, model: Model, text_col: str = "text", keep: dict | None = None) -> DataFrame:
-    """Columns of ``keep`` (name -> Column), then lang_pred and score."""
+def identify(df: DataFrame, model: Model, text_col: str = "text", keep: dict | None = None, text_in: str | None = None) -> DataFrame:
+    """Columns of ``keep`` (name -> Column), then lang_pred and score.  text_in: which of ``keep`` is the text, if one is; it is held once then."""
     spark = df.sparkSession
     sent = spark.sparkContext.broadcast(model)
     keep = keep or {"doc_id": F.col("doc_id")}
     names = [f"k{i}" for i in range(len(keep))]
-    part = df.select(*[c.alias(n) for n, c in zip(names, keep.values())], F.col(text_col).alias("_t"))
+    text = names[list(keep).index(text_in)] if text_in else "_t"
+    part = df.select(*[c.alias(n) for n, c in zip(names, keep.values())], *([] if text_in else [F.col(text_col).alias(text)]))
     fields = ", ".join(f"{n} {part.schema[n].dataType.simpleString()}" for n in names)
 
     def score(rows):
         for b in batches(rows):
-            langs, p = sent.value.predict(columns_of(b, "_t")[0])
+            langs, p = sent.value.predict(columns_of(b, text)[0])
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(names))], pa.array(langs, pa.string()), pa.array(p, pa.float64())], [*names, "lang_pred", "score"])
 
     out = part.mapInArrow(score, f"{fields}, lang_pred string, score double")

@@ -203,18 +203,21 @@ def _per_part(block, lookup) -> tuple[np.ndarray, np.ndarray]:
 _STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def score(df: DataFrame, model: DataFrame, text_col: str, keep: dict[str, Column], max_broadcast: int = 4_000_000) -> DataFrame:
-    """Columns ``keep``, the counted rules, n_bytes, and log_ppl: the mean negative log-probability of a byte."""
-    part = df.select(*[c.alias(f"k{i}") for i, c in enumerate(keep.values())], F.col(text_col).alias("t"))
+def score(df: DataFrame, model: DataFrame, text_col: str, keep: dict[str, Column], max_broadcast: int = 4_000_000, text_in: str | None = None) -> DataFrame:
+    """Columns ``keep``, the counted rules, n_bytes, and log_ppl: the mean negative log-probability of a byte.
+
+    text_in: which of ``keep`` is the text, if one is; it is held once then."""
     names = [f"k{i}" for i in range(len(keep))]
-    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in part.schema.fields[:-1])
+    text = names[list(keep).index(text_in)] if text_in else "t"
+    part = df.select(*[c.alias(n) for n, c in zip(names, keep.values())], *([] if text_in else [F.col(text_col).alias(text)]))
+    fields = "".join(f"{n} {part.schema[n].dataType.simpleString()}, " for n in names)
     stats = "".join(f"{s} bigint, " for s in _STATS)
     small = model.limit(max_broadcast + 1).count() <= max_broadcast
     sent = df.sparkSession.sparkContext.broadcast(Arrays(model.toArrow())) if small else None
 
     def run(rows):
         for b in batches(rows):
-            texts = columns_of(b, "t")[0]
+            texts = columns_of(b, text)[0]
             counted = list(zip(*map(text_rules, texts)))
             total, size = np.zeros(len(texts)), np.zeros(len(texts))
             for block in _blocks(texts):
@@ -228,13 +231,13 @@ def score(df: DataFrame, model: DataFrame, text_col: str, keep: dict[str, Column
 
                 _per_part(block, add)
             ppl = [-t / n if n else None for t, n in zip(total, size)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, pa.int64()) for c in counted], pa.array(size.astype(np.int64)), pa.array(ppl, pa.float64())], [*names, *_STATS, "n_bytes", "log_ppl"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *[pa.array(c, pa.int64()) for c in counted], pa.array(size.astype(np.int64)), pa.array(ppl, pa.float64())], [*names, *_STATS, "n_bytes", "log_ppl"])
 
     def explode(rows):
         for whole in batches(rows):
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
-                texts = columns_of(b, "t")[0]
+                texts = columns_of(b, text)[0]
                 counted = list(zip(*map(text_rules, texts)))
                 keys, ns, ends = [], [], [0]
                 for t in texts:
@@ -243,7 +246,7 @@ def score(df: DataFrame, model: DataFrame, text_col: str, keep: dict[str, Column
                     ns += [n for _, n in found]
                     ends.append(ends[-1] + sum(len(k) for k, _ in found))
                 grams = pa.StructArray.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ns).astype(np.int64))], ["key", "n"])
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, pa.int64()) for c in counted], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), grams)], [*names, *_STATS, "grams"])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *[pa.array(c, pa.int64()) for c in counted], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), grams)], [*names, *_STATS, "grams"])
 
     if small:
         out = part.mapInArrow(run, f"{fields}{stats}n_bytes bigint, log_ppl double")
@@ -277,7 +280,7 @@ def bands(scored: DataFrame) -> DataFrame:
 def judge(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", spread: tuple[float, float] = (3.0, 2.0), short: tuple[float, float] = (6.0, 3.0), least: float = 0.02, max_broadcast: int = 4_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id, lang, the counted rules, base_failed, perplexity, its band, kept; with ``keep``: these columns and kept."""
     model = write_shared(kneser_ney(count_ngrams(df, text_col)), "kneser-ney")
-    scored = score(df, model, text_col, {"id": F.col(id_col), "lang": F.col(lang_col).cast("string")} | {f"own{i}": F.col(c) for i, c in enumerate(keep)}, max_broadcast)
+    scored = score(df, model, text_col, {"id": F.col(id_col), "lang": F.col(lang_col).cast("string")} | {f"own{i}": F.col(c) for i, c in enumerate(keep)}, max_broadcast, f"own{keep.index(text_col)}" if text_col in keep else None)
     scored = write_shared(scored.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))), "quality")
     out = scored.join(bands(scored), F.col("lang").eqNullSafe(F.col("band_lang")), "left")
     wide, scatter = F.greatest(F.col("q3") - F.col("q1"), F.lit(least)), F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1)))

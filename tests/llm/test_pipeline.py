@@ -8,7 +8,9 @@ import pytest
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline as cp  # noqa: E402
-from quire.llm.common import shared_dir  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+from quire.llm import langid, perplexity  # noqa: E402
+from quire.llm.common import shared_dir, write_shared  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +90,19 @@ def test_results_that_are_not_written_yet_stay(spark, table, tmp_path):
     assert kept == set(range(120)) | {210, 211, None}
     assert told.where("doc_id = 200").count() == 1
     assert other.where("doc_id < 60").count() >= 60
+
+
+def test_texts_are_held_once(spark, table):
+    docs, keep = write_shared(table, "test"), {c: F.col(c) for c in cp.COLUMNS}
+    model = langid.fit(docs)
+    grams = write_shared(perplexity.kneser_ney(perplexity.count_ngrams(docs)), "test")
+    for once, twice in (
+        (langid.identify(docs, model, keep=keep, text_in="text"), langid.identify(docs, model, keep=keep)),
+        (perplexity.score(docs, grams, "text", keep, text_in="text"), perplexity.score(docs, grams, "text", keep)),
+        (perplexity.score(docs, grams, "text", keep, 0, "text"), perplexity.score(docs, grams, "text", keep, 0)),
+    ):
+        rows = [sorted(map(str, t.drop("log_ppl").collect())) for t in (once, twice)]
+        assert rows[0] == rows[1] and len(rows[0]) == table.count()
+    # what the pipeline sends to Python
+    plan = cp.language(spark, docs, "once")._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" in plan and "AS _t#" not in plan
