@@ -9,7 +9,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from contextvars import ContextVar
 
 import numpy as np
@@ -121,6 +121,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_KEPT: dict[Hashable, object] = {}
+
+
+def kept(key: Hashable, make: Callable[[], object]):
+    """What a worker keeps from task to task.  Other operators use the worker next, so it goes when another key is asked for."""
+    got = _KEPT.get(key)
+    if got is None:
+        _KEPT.clear()
+        got = _KEPT[key] = make()
+    return got
+
+
 def columns_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from quire.llm.chunks import LONGEST, Cache
-from quire.llm.common import batches, write_shared
+from quire.llm.common import batches, kept, write_shared
 from quire.llm.merges import Merges
 
 WINDOW, SHARD_TOKENS = 4096, 2_000_000
@@ -188,9 +188,8 @@ class WordEncoder:
             yield [np.concatenate([*held, end])]
 
 
-@functools.lru_cache(maxsize=1)
 def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return kept(("encoder", path), lambda: WordEncoder(path))
 
 
 def terms(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,9 +298,9 @@ def fit_cells(df: DataFrame, path: str, end_id: int, text_col: str, sample: int
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (*cols, [None] * len(own))], ["term", "tf", "df"])
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (None, None, df.tobytes())], ["term", "tf", "df"])
 
-    kept = write_shared(some.mapInArrow(distinct, "term binary, tf binary, df binary"), "packing-sample")
-    n = kept.where("term is not null").count()
-    idf = _idf(n, _summed(kept.where("df is not null").select("df"), size))
+    held = write_shared(some.mapInArrow(distinct, "term binary, tf binary, df binary"), "packing-sample")
+    n = held.where("term is not null").count()
+    idf = _idf(n, _summed(held.where("df is not null").select("df"), size))
 
     def vectors(rows):
         for b in batches(rows):
@@ -311,7 +310,7 @@ def fit_cells(df: DataFrame, path: str, end_id: int, text_col: str, sample: int
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in v], pa.binary())], ["v"])
 
     # about `sample` short vectors, in an order that does not depend on the tasks' timing
-    got = kept.where("term is not null").select("term", "tf").mapInArrow(vectors, "v binary").toArrow()["v"].to_pylist()
+    got = held.where("term is not null").select("term", "tf").mapInArrow(vectors, "v binary").toArrow()["v"].to_pylist()
     return Cells(np.frombuffer(b"".join(sorted(got)), np.float32).reshape(-1, DIMS), idf, cells)
 
 

@@ -25,13 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quire.llm.common import batches, columns_of, utf8, write_shared
+from quire.llm.common import batches, columns_of, kept, utf8, write_shared
 from quire.llm.word_hash import WordHash, runs
 
 ORDER, STEP = 5, 0.002
 _BLOCK = 1_000_000
 _DOC_BITS = 64 - 8 * ORDER
-_WORDS: list[WordHash] = []
 
 
 def normal(text: str | None) -> bytes:
@@ -176,9 +175,7 @@ def text_rules(text: str | None) -> tuple[int, int, int, int, int]:
     lines = [x for x in raw.split(b"\n") if x.strip()]
     repeated = 0
     if len(words) > 8:
-        if not _WORDS:
-            _WORDS.append(WordHash())
-        known = _WORDS[0].known
+        known = kept("words", WordHash).known
         w = runs(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), 8)
         s = np.sort(w)
         twice = s[1:][s[1:] == s[:-1]]

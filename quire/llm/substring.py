@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.common import batches, shared_path, utf8, write_shared
+from quire.llm.common import batches, kept, shared_path, utf8, write_shared
 from quire.llm.word_hash import BASES, WordHash, runs, sliding_min
 
 WIDTH, GRAM = 35, 8
@@ -42,13 +42,10 @@ CHUNK_BYTES, PER_SHARD, BATCHES = 4_000_000, 2_000_000, 3
 CHUNK = "chunk bigint, docs binary, mins binary, twice binary, lens binary"
 _RUN = "shard int, chunk bigint, k binary, x binary, many binary"
 _WORD = re.compile(rb"[^ \t-\r]+")
-_WORDS: list[WordHash] = []
 
 
 def _hasher() -> WordHash:
-    if not _WORDS:
-        _WORDS.append(WordHash())
-    return _WORDS[0]
+    return kept("words", WordHash)
 
 
 def _pack(t: pa.RecordBatch) -> bytes:

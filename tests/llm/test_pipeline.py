@@ -1,7 +1,9 @@
 """The pipeline's stages: what each rejects and keeps."""
 
+import gc
 import os
 import random
+import weakref
 
 import pytest
 
@@ -9,7 +11,7 @@ pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline as cp  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
-from quire.llm import langid, perplexity  # noqa: E402
+from quire.llm import langid, packing, perplexity  # noqa: E402
 from quire.llm.common import shared_dir, write_shared  # noqa: E402
 
 
@@ -106,3 +108,12 @@ def test_texts_are_held_once(spark, table):
     # what the pipeline sends to Python
     plan = cp.language(spark, docs, "once")._jdf.queryExecution().analyzed().toString()
     assert "MapInArrow" in plan and "AS _t#" not in plan
+
+
+def test_a_worker_keeps_one_operators_caches():
+    path = cp.public_tokenizers.path("word_bpe_49k.json")
+    encoder = weakref.ref(packing._encoder(path))
+    assert packing._encoder(path) is encoder()
+    assert perplexity.text_rules("one two three four five six seven eight nine ten")[0] == 10
+    gc.collect()
+    assert encoder() is None
