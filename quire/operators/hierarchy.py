@@ -66,7 +66,7 @@ def _judged(index: DataFrame, book: str, order: str, title: str, rules: Rules) -
     w = Window.partitionBy("book")
     t = t.repartition("book").withColumns({"n_chapters": F.count(F.when(F.col("unit").isNull(), 1)).over(w), "has_chapter": F.max("_c").over(w), "n": F.count("unit").over(Window.partitionBy("book", "unit"))})
     noise = F.col("unit").isin(*rules.noise_when_chapter) & F.col("has_chapter")
-    return t.withColumn("accepted", F.coalesce(~noise & (F.col("n") * rules.ratio <= F.col("n_chapters")), F.lit(False)))
+    return t.withColumn("accepted", F.coalesce(F.col("unit").isNotNull() & ~noise & (F.col("n") * rules.ratio <= F.col("n_chapters")), F.lit(False)))
 
 
 def analyze(index: DataFrame, book: str = "book", title: str = "title", rules: Rules = DEFAULT) -> DataFrame:

@@ -31,6 +31,14 @@ def test_dense_units_are_rejected(spark):
     assert (a.unit, a.n, a.n_chapters, a.accepted) == ("卷", 3, 3, False)
 
 
+def test_entries_without_a_unit_open_no_volume(spark):
+    # no title has 章 or 回
+    t = ["前言", "第一卷"] + [f"第{i}节" for i in range(1, 6)] + ["第二卷"] + [f"第{i}节" for i in range(1, 4)]
+    assert members(hi.groups(index(spark, t))) == [("正文", [0]), ("第一卷", list(range(1, 7))), ("第二卷", list(range(7, 11)))]
+    assert members(hi.groups(index(spark, ["第1节", "第2节", None, ""]))) == []
+    assert members(hi.groups(index(spark, ["第一卷", "第1节"]))) == []
+
+
 @pytest.mark.parametrize(
     "title, unit",
     [("第一篇 一夜 第一集 深夜", "篇"), ("【第一卷】", "卷"), ("第一卷终", None), ("继续阅读第三篇", None), ("第二卷，他说", None), ("第一卷 第三章", None), ("第三集" + "长" * 20, None), ("  第 3 部", "部"), ("", None), (None, None)],
